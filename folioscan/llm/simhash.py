@@ -122,7 +122,8 @@ def near_pairs(fps: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.nda
     # vertical planes: bit b of 64 candidates in one word
     rows = np.minimum(word_first[:, None] + np.arange(64), n - 1)
     bits = np.unpackbits(fps[rows].view(np.uint8).reshape(len(rows), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(planes).view(np.uint64)[:, :, 0]
     there = np.where(lanes == 64, _ONES, (np.uint64(1) << (lanes % 64).astype(np.uint64)) - np.uint64(1))
     # every candidate against every word of its group
     group_of = np.repeat(np.arange(len(first)), sizes)

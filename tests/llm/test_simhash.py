@@ -86,3 +86,11 @@ def test_query_matches_brute_force(spark):
     comp = brute_components(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash_near_dedup(spark, d).collect()}
     assert got == {i: (f"{fps[i]:016x}", comp[i]) for i in fps}
+
+
+@pytest.mark.parametrize("n", [2, 63, 64, 65, 130])
+def test_groups_of_any_size(n):
+    fps = np.arange(n, dtype=np.uint64)
+    a, b = simhash.near_pairs(fps, np.zeros(n, int), 4)
+    want = sum((i ^ j).bit_count() <= 4 for i in range(n) for j in range(i + 1, n))
+    assert len(a) == want and (a < b).all()
