@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from folioscan.llm import simhash
+from folioscan.llm import linededup, mixing, sentencepieces, simhash, tokencount
+from folioscan.storage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, in each process that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # only words are mixed here, so the texts are read once and left behind
+    slim = docs.select("doc_id", "source", F.xxhash64("text").alias("text"), mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(materialize(slim, "mix"), size_col="size")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_line_dedup, op4_sentencepiece, op5_token_counts, op7_mixing)}
 
 #: DuckDB SQL by query.  Queries without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
