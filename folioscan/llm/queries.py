@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import linededup, mixing, pii, sentencepieces, simhash, tokencount
+from folioscan.llm import linededup, mixing, pii, sentencepieces, simhash, tokencount, toxicity
 from folioscan.storage import materialize
 
 
@@ -44,11 +44,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_line_dedup, op4_sentencepiece, op5_token_counts, op7_mixing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_line_dedup, op4_sentencepiece, op5_token_counts, op7_mixing, op8_toxicity, op9_pii)}
 
 #: DuckDB SQL by query.  Queries without an entry are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
