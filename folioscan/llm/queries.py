@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import linededup, mixing, pii, sentencepieces, simhash, tokencount, toxicity
+from folioscan.llm import embeddup, linededup, mixing, pii, quality, sentencepieces, simhash, tokencount, topk, toxicity
 from folioscan.storage import materialize
 
 
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # only words are mixed here, so the texts are read once and left behind
@@ -53,7 +61,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_line_dedup, op4_sentencepiece, op5_token_counts, op7_mixing, op8_toxicity, op9_pii)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash_near_dedup, op3_line_dedup, op4_sentencepiece, op5_token_counts, op6_exact_top_k, op7_mixing, op8_toxicity, op9_pii, op10_embedding_near_dedup)}
 
 #: DuckDB SQL by query.  Queries without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.oracle_sql(), "op6_exact_top_k": topk.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
