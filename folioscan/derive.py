@@ -52,11 +52,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, layer, color, kind, ax, ay, bx, by, x0, y0, x1, y1)``: drawn segments and their boxes."""
+    """``(id, layer, color, kind, ax, ay, ex, ey, x0, y0, x1, y1)``: drawn segments and their boxes."""
     e = F.col("embedding")
-    at = [(F.floor(e[k].cast("double") * 1000) / 10.0).alias(c) for k, c in enumerate(("ax", "ay", "bx", "by"))]
+    at = [(F.floor(e[k].cast("double") * 1000) / 10.0).alias(c) for k, c in enumerate(("ax", "ay", "ex", "ey"))]
     s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("layer"), F.when(F.col("vec_id") % 3 == 0, "#FF0000").otherwise("#000000").alias("color"), F.when(F.col("vec_id") % 4 == 0, "polyline").otherwise("line").alias("kind"), *at)
-    return s.select("*", F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    return s.select("*", F.least("ax", "ex").alias("x0"), F.least("ay", "ey").alias("y0"), F.greatest("ax", "ex").alias("x1"), F.greatest("ay", "ey").alias("y1"))
 
 
 def markups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +100,9 @@ line AS (
   SELECT vec_id AS id, 'L' || label AS layer, CASE WHEN vec_id % 3 = 0 THEN '#FF0000' ELSE '#000000' END AS color,
          CASE WHEN vec_id % 4 = 0 THEN 'polyline' ELSE 'line' END AS kind,
          floor(embedding[1]::DOUBLE * 1000) / 10::DOUBLE AS ax, floor(embedding[2]::DOUBLE * 1000) / 10::DOUBLE AS ay,
-         floor(embedding[3]::DOUBLE * 1000) / 10::DOUBLE AS bx, floor(embedding[4]::DOUBLE * 1000) / 10::DOUBLE AS by FROM embeddings),
+         floor(embedding[3]::DOUBLE * 1000) / 10::DOUBLE AS ex, floor(embedding[4]::DOUBLE * 1000) / 10::DOUBLE AS ey FROM embeddings),
 segment AS (
-  SELECT *, least(ax, bx) AS x0, least(ay, by) AS y0, greatest(ax, bx) AS x1, greatest(ay, by) AS y1 FROM bare_segment)""",
+  SELECT *, least(ax, ex) AS x0, least(ay, ey) AS y0, greatest(ax, ex) AS x1, greatest(ay, ey) AS y1 FROM bare_segment)""",
     "markup": """markup AS (
   SELECT 'd' || (conv_id // 20) AS doc_key, (conv_id % 20)::INT AS page, conv_id * 100 + turn AS xref,
          CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 END AS irt_xref, role AS author, text,
