@@ -134,7 +134,8 @@ def partial_similarity(query: str, text: str) -> tuple[float, int, int]:
     """
     if len(text) <= len(query):
         return similarity(query, text), 0, len(text)
-    first, n, best = set(query), len(query), (0.0, 0, n)
+    first, n = set(query), len(query)
+    best = (0.0, 0, n)
     for i in range(0, len(text) - n + 1):
         if text[i] in first:
             got = similarity(query, text[i : i + n])
