@@ -103,7 +103,8 @@ def turn_angles(vertices: Column) -> Column:
     def turn(v: Column, i: Column) -> Column:
         p, q = F.get(vertices, F.pmod(i - 1 + n, n)), F.get(vertices, F.pmod(i + 1, n))
         ax, ay, bx, by = v["x"] - p["x"], v["y"] - p["y"], q["x"] - v["x"], q["y"] - v["y"]
-        return F.degrees(F.atan2(ax * by - ay * bx, ax * bx + ay * by))
+        t = F.degrees(F.atan2(ax * by - ay * bx, ax * bx + ay * by))
+        return F.when(t <= -180, 180.0).otherwise(t)
 
     return F.transform(vertices, turn)
 

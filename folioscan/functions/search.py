@@ -115,16 +115,28 @@ def first_hits(hits: DataFrame, order: list, most: int) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(Window.orderBy(*order))).where(F.col("__n") <= most + 1).withColumn("truncated", F.max("__n").over(Window.partitionBy()) > most).where(F.col("__n") <= most).drop("__n")
 
 
+def _common(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence with a query of ``n`` characters, by bit-parallel rows."""
+    full = (1 << n) - 1
+    row = full
+    for c in text:
+        u = row & masks.get(c, 0)
+        row = ((row + u) | (row - u)) & full
+    return n - row.bit_count()
+
+
+def _masks(query: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(query):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def similarity(a: str, b: str) -> float:
     """0 to 100: twice the longest common subsequence over both lengths."""
     if not a or not b:
         return 100.0 if a == b else 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(_masks(a), len(a), b) / (len(a) + len(b))
 
 
 def partial_similarity(query: str, text: str) -> tuple[float, int, int]:
@@ -132,30 +144,42 @@ def partial_similarity(query: str, text: str) -> tuple[float, int, int]:
 
     Windows of the query's length are tried where a character of it can begin.
     """
-    if len(text) <= len(query):
+    n = len(query)
+    if len(text) <= n:
         return similarity(query, text), 0, len(text)
-    first, n = set(query), len(query)
-    best = (0.0, 0, n)
+    masks, best = _masks(query), (0.0, 0, n)
     for i in range(0, len(text) - n + 1):
-        if text[i] in first:
-            got = similarity(query, text[i : i + n])
+        if text[i] in masks:
+            got = 100.0 * _common(masks, n, text[i : i + n]) / n
             if got > best[0]:
                 best = (got, i, i + n)
     return best
 
 
+def pairs_needed(query: str, cutoff: float) -> int:
+    """How many of a query's distinct letter pairs any text that reaches the cutoff must hold.
+
+    A text that reaches it lacks at most ``k`` characters of the query and puts at most ``j``
+    others between them; a lacking one breaks two pairs, another one pair.
+    """
+    n = len(query)
+    k, j = int(n * (1 - cutoff / (200 - cutoff))), int(n * (1 - cutoff / 100))
+    return max(0, len({query[i : i + 2] for i in range(n - 1)}) - 2 * k - j)
+
+
 def fuzzy(groups: DataFrame, query: str, cutoff: float = 80.0) -> DataFrame:
     """``doc_key, page, group_no, score, start, end`` of groups that hold something like the query.
 
-    Groups without three of the query's letter pairs cannot reach a cutoff of 80 and are
-    left out by an expression first.
+    Groups with too few of the query's letter pairs cannot reach the cutoff (`pairs_needed`)
+    and are left out by an expression before any text reaches Python.
     """
     folded = fold(query)[0].strip().lower()
     pairs = sorted({folded[i : i + 2] for i in range(len(folded) - 1)})
-    need = min(3, len(pairs)) if cutoff >= 80 and len(folded) >= 10 else 0
+    need = pairs_needed(folded, cutoff)
     rows = groups
     if need:
-        has = sum((F.contains(F.lower("text"), F.lit(p)).cast("int") for p in pairs), F.lit(0))
+        plain = F.lower(F.regexp_replace("text", r"\s+", " "))
+        has = F.aggregate(F.array(*map(F.lit, pairs)), F.lit(0), lambda n, p: n + F.contains(plain, p).cast("int"))
         rows = rows.where((has >= need) | ~F.col("text").rlike(r"^\p{ASCII}*$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

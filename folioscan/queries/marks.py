@@ -184,7 +184,7 @@ def o4_suppressed_hits(spark, sf_dir):
     return O.suppressed(s, ["layer"])
 
 
-@query(SEG + " SELECT id, round(degrees(atan2((ex-ax)*(-1) - (ey-ay)*0, (ex-ax)*0 + (ey-ay)*(-1))), 6) AS turn FROM segment WHERE ex <> ax OR ey <> ay")
+@query(SEG + " SELECT id, CASE WHEN turn <= -180 THEN 180 ELSE turn END AS turn FROM (SELECT id, round(degrees(atan2((ex-ax)*(-1) - (ey-ay)*0, (ex-ax)*0 + (ey-ay)*(-1))), 6) AS turn FROM segment WHERE ex <> ax OR ey <> ay)")
 def w19_turn_angles(spark, sf_dir):
     s = derive.segments(spark, sf_dir).where("ex <> ax or ey <> ay")
     pt = lambda a, b: F.struct(F.col(a).cast("double").alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).cast("double").alias("y") if isinstance(b, str) else b.alias("y"))

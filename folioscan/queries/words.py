@@ -206,7 +206,9 @@ def f1_passages_in_documents(spark, sf_dir):
     # inner words are whole in any text that holds the passage
     b = b.withColumn("key", F.when(F.size(words) >= 6, F.xxhash64(F.array_join(F.slice(words, 2, 4), " "))))
     d = derive.table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("body"))
-    w = F.split("body", " ")
+    # the words are a column of their own: inside the lambda they would be split for every shingle
+    d = d.withColumn("w", F.split("body", " "))
+    w = F.col("w")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))
     long = d.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("key")).join(b.where("key is not null"), "key").where(F.contains("body", F.col("passage")))
     return long.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
