@@ -40,6 +40,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow hand whole texts to Python at most ``rows`` at a time.
+
+    Spark's default of 10,000 rows suits narrow rows; with long texts the copies of a
+    batch on both sides of the pipe are what an executor's memory has to hold.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables this application has materialized."""
     jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
