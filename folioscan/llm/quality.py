@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.llm.boosting import Trees, fit_trees
-from folioscan.storage import materialize
+from folioscan.storage import materialize, small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3000
@@ -112,6 +112,7 @@ def _score_batches(trees: Trees, at: int):
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", source_col: str = "source", path_col: str = "lang") -> DataFrame:
     """``docs`` with ``__p`` (the document classifier), ``__host`` and ``__path``."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__p", T.DoubleType())])
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(_score_batches(trees, docs.columns.index(text_col)), schema)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     address = F.regexp_extract(source, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1)

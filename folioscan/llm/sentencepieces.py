@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.lattice import Lattice
+from folioscan.storage import small_batches
 
 SPACE = "▁"
 _CHUNKS_KEPT = 250_000
@@ -172,6 +173,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     counts as empty and has no ids; null and repeated ids pass through.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return cols.mapInArrow(_encode_batches(path), "doc_id long, n_bytes long, n_pieces long, ids array<int>, round_trip boolean")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.components import connected_components
-from folioscan.storage import materialize
+from folioscan.storage import materialize, small_batches
 
 SEED, SHINGLE, BITS = 42, 4, 64
 CHUNK = 1024
@@ -92,6 +92,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` holds the 64 bits as a signed long."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return cols.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 

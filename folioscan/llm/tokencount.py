@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.lattice import Lattice
+from folioscan.storage import small_batches
 
 CLOSING = 256
 _WORDS_KEPT = 250_000
@@ -191,4 +192,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     not counted).  A null text counts as empty; ids pass through, null ones too.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return cols.mapInArrow(_batches(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long")

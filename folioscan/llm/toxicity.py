@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.boosting import Trees, fit_trees, isotonic
+from folioscan.storage import small_batches
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3000
@@ -199,5 +200,6 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str
     A null text is scored as an empty one; a row with a null id is not held out.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     scored = cols.mapInArrow(_score_batches(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
