@@ -25,8 +25,7 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Number of white-space separated words; 0 for null and blank."""
-    t = squeeze(F.coalesce(text, F.lit("")))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
 def mask_digits(text: Column) -> Column:

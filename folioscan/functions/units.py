@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ METRES = {"in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mm": 0.001, "cm": 0.01, "m"
 NUMBER = r"(?:[0-9]+\s+[0-9]+\s*/\s*[0-9]+|[0-9]+\s*/\s*[0-9]+|[0-9]*\.[0-9]+|[0-9]+)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _lookup(table: dict[str, float | str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
@@ -34,26 +41,31 @@ def convert_length(value: Column, frm: Column, to: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """``3/32``, ``1 1/2``, ``20``, ``.5``, ``1e3`` as a double, else null; a zero denominator is null."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
     mixed, frac = r"^([0-9]+) ([0-9]+) ?/ ?([0-9]+)$", r"^([0-9]+) ?/ ?([0-9]+)$"
 
-    def g(p: str, i: int) -> Column:
-        return F.nullif(F.regexp_extract(t, p, i), F.lit("")).try_cast("double")
+    def parsed(t: Column) -> Column:
+        def g(p: str, i: int) -> Column:
+            return F.nullif(F.regexp_extract(t, p, i), F.lit("")).try_cast("double")
 
-    plain = F.when(t.rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"), t.try_cast("double"))
-    return F.when(t.rlike(mixed), g(mixed, 1) + F.try_divide(g(mixed, 2), g(mixed, 3))).when(t.rlike(frac), F.try_divide(g(frac, 1), g(frac, 2))).otherwise(plain)
+        plain = F.when(t.rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"), t.try_cast("double"))
+        return F.when(t.rlike(mixed), g(mixed, 1) + F.try_divide(g(mixed, 2), g(mixed, 3))).when(t.rlike(frac), F.try_divide(g(frac, 1), g(frac, 2))).otherwise(plain)
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), parsed)
 
 
 def _side(text: Column) -> Column:
     """One side of a ratio: ``struct(value, unit)``; feet and inches are one value in feet."""
-    t = F.trim(text)
     both = rf"^({NUMBER})\s*(?:'|ft\.?|feet|foot)\s*-?\s*({NUMBER})\s*(?:\"|in\.?|inch|inches)$"
     one = rf"^({NUMBER})\s*([A-Za-z]+|'|\")?\.?$"
-    feet = parse_number(F.regexp_extract(t, both, 1)) + parse_number(F.regexp_extract(t, both, 2)) / 12
-    unit = F.regexp_extract(t, one, 2)
-    whole = F.struct(feet.alias("value"), F.lit("ft").alias("unit"))
-    plain = F.struct(parse_number(F.regexp_extract(t, one, 1)).alias("value"), F.when(unit != "", normal_unit(unit)).alias("unit"))
-    return F.when(t.rlike(both), whole).when(t.rlike(one), plain)
+
+    def parsed(t: Column) -> Column:
+        feet = parse_number(F.regexp_extract(t, both, 1)) + parse_number(F.regexp_extract(t, both, 2)) / 12
+        unit = F.regexp_extract(t, one, 2)
+        whole = F.struct(feet.alias("value"), F.lit("ft").alias("unit"))
+        plain = F.struct(parse_number(F.regexp_extract(t, one, 1)).alias("value"), F.when(unit != "", normal_unit(unit)).alias("unit"))
+        return F.when(t.rlike(both), whole).when(t.rlike(one), plain)
+
+    return let(F.trim(text), parsed)
 
 
 def parse_ratio(text: Column) -> Column:
@@ -62,15 +74,22 @@ def parse_ratio(text: Column) -> Column:
     ``struct(page_len, page_unit, real_len, real_unit)``, null for anything else; a
     bare ratio has no units.
     """
-    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?i)^scale *[:=]? *", ""))
-    left = F.regexp_replace(F.substring_index(t, "=", 1), r"(?<![0-9./-])([0-9]+)-([0-9]+\s*/\s*[0-9]+)", "$1 $2")
-    a, b = _side(left), _side(F.substring(t, F.instr(t, "=") + 1, F.length(t)))
-    bare = rf"^({NUMBER})\s*:\s*({NUMBER})$"
-    p, r = parse_number(F.regexp_extract(t, bare, 1)), parse_number(F.regexp_extract(t, bare, 2))
     none = F.lit(None).cast("string")
-    stated = F.struct(a["value"].alias("page_len"), a["unit"].alias("page_unit"), b["value"].alias("real_len"), b["unit"].alias("real_unit"))
-    ratio = F.struct(p.alias("page_len"), none.alias("page_unit"), r.alias("real_len"), none.alias("real_unit"))
-    return F.when(F.contains(t, F.lit("=")), F.when((a["value"] > 0) & (b["value"] > 0), stated)).when(t.rlike(bare) & (p > 0) & (r > 0), ratio)
+    bare = rf"^({NUMBER})\s*:\s*({NUMBER})$"
+
+    def stated(a: Column, b: Column) -> Column:
+        got = F.struct(a["value"].alias("page_len"), a["unit"].alias("page_unit"), b["value"].alias("real_len"), b["unit"].alias("real_unit"))
+        return F.when((a["value"] > 0) & (b["value"] > 0), got)
+
+    def parsed(t: Column) -> Column:
+        left = F.regexp_replace(F.substring_index(t, "=", 1), r"(?<![0-9./-])([0-9]+)-([0-9]+\s*/\s*[0-9]+)", "$1 $2")
+        right = F.substring(t, F.instr(t, "=") + 1, F.length(t))
+        sides = let(_side(left), lambda a: let(_side(right), lambda b: stated(a, b)))
+        p, r = parse_number(F.regexp_extract(t, bare, 1)), parse_number(F.regexp_extract(t, bare, 2))
+        ratio = F.struct(p.alias("page_len"), none.alias("page_unit"), r.alias("real_len"), none.alias("real_unit"))
+        return F.when(F.contains(t, F.lit("=")), sides).when(t.rlike(bare) & (p > 0) & (r > 0), ratio)
+
+    return let(F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?i)^scale *[:=]? *", "")), parsed)
 
 
 def magnification(ratio: Column) -> Column:

@@ -51,6 +51,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 32 << 20) -> DataFrame:
+    """``df`` dealt over all cores if its input is small and in fewer files than cores.
+
+    One file of one row group is one task, however many cores wait; for work that is
+    heavy on each row a small shuffle is cheaper.  Inputs of over ``most`` bytes a core,
+    or of many files, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if least <= size < most * cores and 0 < len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables this application has materialized."""
     jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
