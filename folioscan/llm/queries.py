@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import embeddup, linededup, mixing, pii, quality, sentencepieces, simhash, tokencount, topk, toxicity
-from folioscan.storage import materialize
+from folioscan.storage import materialize, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer(name: str) -> str:
