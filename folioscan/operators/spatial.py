@@ -172,7 +172,10 @@ def check_points(points: DataFrame, symbols: DataFrame, tol: float) -> DataFrame
 
 def offset_votes(anchors: DataFrame, ends: DataFrame, reach: float, bin_pt: float = 2.0) -> DataFrame:
     """The modal translation between anchors and endpoints (J24, A24): bin, votes, and whether it is significant."""
-    pairs = points_within(anchors, ends, reach).withColumn("bx", F.floor((F.col("rx") - F.col("lx")) / bin_pt)).withColumn("by", F.floor((F.col("ry") - F.col("ly")) / bin_pt))
+    near = points_within(anchors, ends, reach)
+    # an anchor votes once for a bin, however many ends lie there
+    to_bin = lambda a, b: F.bround((F.col(b) - F.col(a)) / bin_pt).cast("long")
+    pairs = near.select("lx", "ly", to_bin("lx", "rx").alias("bx"), to_bin("ly", "ry").alias("by")).distinct()
     bins = pairs.groupBy("bx", "by").agg(F.count("*").alias("votes"))
     total = bins.agg(F.sum("votes").alias("total"), F.count("*").alias("n_bins"))
     top = bins.orderBy(F.desc("votes"), "bx", "by").limit(1).join(F.broadcast(total))

@@ -152,7 +152,7 @@ def k8_json_round_trip(spark, sf_dir):
     return rings.from_json(rings.to_json(e)).select("id", "kind", "layer", F.col("vertices")[0]["x"].alias("x"), "content")
 
 
-@query(PNT + ", p AS (SELECT floor((b.x + 7 - a.x) / 2) AS bx, floor((b.y - 3 - a.y) / 2) AS by_ FROM point a JOIN point b ON sqrt((b.x+7-a.x)*(b.x+7-a.x)+(b.y-3-a.y)*(b.y-3-a.y)) <= 12), g AS (SELECT bx, by_, count(*) AS votes FROM p GROUP BY ALL) SELECT bx::BIGINT AS bx, by_::BIGINT AS \"by\", votes, true AS significant FROM g ORDER BY votes DESC, bx, by_ LIMIT 1")
+@query(PNT + ", p AS (SELECT DISTINCT a.x, a.y, round_even((b.x + 7 - a.x) / 2, 0) AS bx, round_even((b.y - 3 - a.y) / 2, 0) AS by_ FROM point a JOIN point b ON sqrt((b.x+7-a.x)*(b.x+7-a.x)+(b.y-3-a.y)*(b.y-3-a.y)) <= 12), g AS (SELECT bx, by_, count(*) AS votes FROM p GROUP BY ALL) SELECT bx::BIGINT AS bx, by_::BIGINT AS \"by\", votes, true AS significant FROM g ORDER BY votes DESC, bx, by_ LIMIT 1")
 def j24_a24_offset_votes(spark, sf_dir):
     p = derive.points(spark, sf_dir)
     a = p.select(F.col("x").alias("lx"), F.col("y").alias("ly"))
