@@ -95,7 +95,8 @@ def parse_ratio(text: Column) -> Column:
 def magnification(ratio: Column) -> Column:
     """Real lengths to one on paper, null where one side alone has a unit."""
     same = ratio["page_unit"].isNull() & ratio["real_unit"].isNull()
-    return F.when(same, ratio["real_len"] / ratio["page_len"]).otherwise(convert_length(ratio["real_len"], ratio["real_unit"], ratio["page_unit"]) / ratio["page_len"])
+    real = F.when(same, ratio["real_len"]).otherwise(convert_length(ratio["real_len"], ratio["real_unit"], ratio["page_unit"]))
+    return F.try_divide(real, ratio["page_len"])
 
 
 def quantity(value: Column, units: Column, confidence: Column | float = 1.0, rel: Column | float = 0.0) -> Column:
@@ -108,7 +109,7 @@ def quantity(value: Column, units: Column, confidence: Column | float = 1.0, rel
 def combine_confidence(*parts: Column) -> Column:
     """The weakest of the parts that are there, clamped to [0, 1]; 0 with none."""
     least = F.least(*parts, F.lit(None).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)), F.lit(0.0))
+    return F.when(least.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)))
 
 
 def combine_uncertainty(*parts: Column) -> Column:

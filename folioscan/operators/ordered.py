@@ -38,8 +38,8 @@ def steps_even(runs: DataFrame, keys: list[str], order: str, value: str, tol: fl
     step = F.lead(value).over(Window.partitionBy(*keys).orderBy(order)) - F.col(value)
     s = runs.withColumn("step", step).where("step is not null")
     s = s.withColumn("base", F.min(F.abs("step")).over(Window.partitionBy(*keys)))
-    ratio = F.abs(F.col("step")) / F.col("base")
-    agg = s.groupBy(*keys).agg(F.min("base").alias("base"), F.count("*").alias("n_steps"), F.count_if(F.abs(ratio - 2) <= tol).alias("n_double"), F.count_if((F.abs(ratio - 1) > tol) & (F.abs(ratio - 2) > tol)).alias("n_odd"))
+    ratio = F.try_divide(F.abs("step"), "base")
+    agg = s.groupBy(*keys).agg(F.min("base").alias("base"), F.count("*").alias("n_steps"), F.count_if(F.abs(ratio - 2) <= tol).alias("n_double"), F.count_if(ratio.isNull() | ((F.abs(ratio - 1) > tol) & (F.abs(ratio - 2) > tol))).alias("n_odd"))
     return agg.withColumn("even", (F.col("base") > 0) & (F.col("n_odd") == 0) & (F.col("n_double") * 3 <= F.col("n_steps")))
 
 

@@ -92,9 +92,9 @@ def spacing(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     stats = nn.groupBy(*keys).agg(F.mean("nn").alias("nn_mean"), F.percentile("nn", 0.5).alias("nn_median"), F.min("nn").alias("nn_min"), F.max("nn").alias("nn_max"), F.stddev_pop("nn").alias("nn_std"))
     out = points.groupBy(*keys).agg(F.count("*").alias("n")).join(stats, keys, "left").join(hulls(points, keys), keys, "left")
     dense = F.when((F.col("n") >= 3) & (F.col("hull_area") > 0), F.sqrt(F.col("hull_area") / F.col("n")))
-    out = out.withColumn("density_equivalent", dense).withColumn("r", F.col("nn_mean") / (0.5 * F.col("density_equivalent")))
+    out = out.withColumn("density_equivalent", dense).withColumn("r", F.try_divide("nn_mean", 0.5 * F.col("density_equivalent")))
     out = out.withColumn("pattern", F.when(F.col("r") < 0.9, "clustered").when(F.col("r") > 1.1, "regular").when(F.col("r").isNotNull(), "random"))
-    over = (F.col("hull_area") / F.col("rect_area") < 0.6) | (F.col("long_side") / F.col("short_side") > 3)
+    over = (F.try_divide("hull_area", "rect_area") < 0.6) | (F.try_divide("long_side", "short_side") > 3)
     return out.withColumn("hull_may_overstate_area", F.coalesce(over, F.lit(False)))
 
 
@@ -110,7 +110,7 @@ def spacing_candidates(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Each convention's spacing as a row, and whether the choice matters."""
     names = ("nn_mean", "nn_median", "density_equivalent")
     rows = F.array(*(F.struct(F.lit(n).alias("convention"), F.col(n).alias("spacing")) for n in names))
-    spread = F.greatest(*names) / F.least(*names)
+    spread = F.try_divide(F.greatest(*names), F.least(*names))
     return stats.select(*keys, (spread > 1.15).alias("choice_matters"), F.inline(rows)).where("spacing is not null")
 
 

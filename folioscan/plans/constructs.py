@@ -34,7 +34,7 @@ def leaders(arrows: DataFrame, shafts: DataFrame, texts: DataFrame, reach: float
     length = G.distance(F.col("rx"), F.col("ry"), F.col("ox"), F.col("oy"))
     pairs = points_within(a, ends, reach).withColumn("length", length).where(F.col("length") >= 2 * F.col("scale"))
     # the shaft runs from tail to tip; a sound head points the same way
-    align = ((F.col("rx") - F.col("ox")) * F.col("dx") + (F.col("ry") - F.col("oy")) * F.col("dy")) / F.col("length")
+    align = F.try_divide((F.col("rx") - F.col("ox")) * F.col("dx") + (F.col("ry") - F.col("oy")) * F.col("dy"), "length")
     best = pairs.withColumn("align", align).groupBy("arrow_id").agg(F.max_by(F.struct("shaft_id", "rx", "ry", "ox", "oy", "align", "dist"), F.struct(F.abs("align").alias("a"), (-F.col("dist")).alias("d"), (-F.col("shaft_id")).alias("i"))).alias("b")).select("arrow_id", "b.*")
     tails = best.select("arrow_id", F.col("ox").alias("lx"), F.col("oy").alias("ly"))
     near = points_within(tails, texts.select("text_id", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach).groupBy("arrow_id").agg(F.min(F.struct("dist", "text_id")).alias("t"))
@@ -77,8 +77,8 @@ def bubbles(circles: DataFrame, texts: DataFrame, segments: DataFrame, max_chars
     held = ends.groupBy("circle_id").agg(F.count_distinct("id").alias("n_attached"))
     size = circles.agg(F.percentile("radius", 0.5).alias("typical"))
     out = c.join(best, "circle_id").join(held, "circle_id", "left").crossJoin(F.broadcast(size)).withColumn("n_attached", F.coalesce("n_attached", F.lit(0)))
-    centred = 1 - F.col("t.dist") / (0.9 * F.col("radius"))
-    sized = F.least("radius", "typical") / F.greatest("radius", "typical")
+    centred = 1 - F.coalesce(F.try_divide("t.dist", 0.9 * F.col("radius")), F.lit(0.0))
+    sized = F.coalesce(F.try_divide(F.least("radius", "typical"), F.greatest("radius", "typical")), F.lit(1.0))
     kind = F.when(F.col("n_attached") == 0, "keynote").when(F.col("n_attached") == 1, "grid").otherwise("detail")
     return out.select("circle_id", F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "n_attached", kind.alias("kind"), _clamp(0.35 * F.col("roundness") + 0.45 * centred + 0.20 * sized).alias("confidence"))
 
@@ -95,7 +95,7 @@ def title_blocks(rects: DataFrame, texts: DataFrame, keys: list[str], size: floa
     n_text = boxes_meeting(r, t, size, keys, "contain").groupBy(*keys, "rect_id").agg(F.count("*").alias("n_text"))
     n_rect = boxes_meeting(r, inner, size, keys, "contain").where("rect_id <> inner_id").groupBy(*keys, "rect_id").agg(F.count("*").alias("n_rect"))
     out = rects.join(n_text, [*keys, "rect_id"], "left").join(n_rect, [*keys, "rect_id"], "left")
-    right, low = (F.col("width") - F.col("x1")) / F.col("width"), (F.col("height") - F.col("y1")) / F.col("height")
+    right, low = F.try_divide(F.col("width") - F.col("x1"), "width"), F.try_divide(F.col("height") - F.col("y1"), "height")
     edge = _clamp(1 - F.least(right, low) / 0.4)
     worded = F.least(F.coalesce("n_text", F.lit(0)) / 8, F.lit(1.0))
     nested = F.least(F.coalesce("n_rect", F.lit(0)) / 4, F.lit(1.0))
@@ -142,7 +142,7 @@ def plan_symbols(symbols: DataFrame, labels: DataFrame, widths: float = 3.0, lea
     # the best rival is the nearest other label of the symbol
     other = pairs.alias("p").join(took.select("symbol", F.col("label").alias("mine")), "symbol").where("label <> mine").groupBy("symbol").agg(F.min("dist").alias("alt"))
     out = took.join(other, "symbol", "left")
-    sep = F.when(F.col("alt").isNull(), 1.0).otherwise(_clamp((F.col("alt") - F.col("dist")) / F.greatest("size", "dist")))
+    sep = F.when(F.col("alt").isNull(), 1.0).otherwise(_clamp(F.coalesce(F.try_divide(F.col("alt") - F.col("dist"), F.greatest("size", "dist")), F.lit(1.0))))
     return out.select("symbol", "label", "dist", ((1 - 0.5 * F.col("dist") / F.col("limit")) * (0.5 + 0.5 * sep)).alias("confidence"), (sep < 0.5).alias("ambiguous"))
 
 

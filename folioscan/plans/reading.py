@@ -82,5 +82,5 @@ def stated_and_measured(stated: DataFrame, measured: DataFrame, keys: list[str],
     """Stated spacings against measured ones of the same unit (X30): ``keys, value, units, measured, agrees``; null where nothing is measured."""
     m = measured.select(*keys, F.col("units"), F.col("value").alias("measured"))
     out = stated.join(m, [*keys, "units"], "left")
-    gap = F.abs(F.col("value") - F.col("measured")) / F.col("measured")
+    gap = F.try_divide(F.abs(F.col("value") - F.col("measured")), "measured")
     return out.withColumn("agrees", gap <= tol).select(*keys, "value", "units", "measured", "agrees")

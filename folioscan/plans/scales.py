@@ -41,7 +41,7 @@ def reconciled(scales: DataFrame) -> DataFrame:
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))[F.col("source")], F.lit(3))
     by = Window.partitionBy("doc_key", "page")
     s = scales.withColumn("__r", rank).withColumn("__p", F.min(F.struct("__r", "scale_id", "per_point")).over(by))
-    gap = F.abs(F.col("per_point") - F.col("__p.per_point")) / F.col("__p.per_point")
+    gap = F.try_divide(F.abs(F.col("per_point") - F.col("__p.per_point")), F.col("__p.per_point"))
     s = s.withColumn("primary", F.col("scale_id") == F.col("__p.scale_id")).withColumn("gap", gap)
     others = F.min(F.when(~F.col("primary"), F.col("gap"))).over(by)
     agree = F.when(F.col("primary"), others <= AGREE).otherwise(F.col("gap") <= AGREE)

@@ -74,7 +74,7 @@ def log_decades(lines: DataFrame, keys: list[str], position: str, tol: float = 0
     """
     by = Window.partitionBy(*keys).orderBy(position)
     g = lines.withColumn("gap", F.lead(position).over(by) - F.col(position))
-    g = g.withColumn("ratio", F.lead("gap").over(by) / F.col("gap")).where("ratio is not null")
+    g = g.withColumn("ratio", F.try_divide(F.lead("gap").over(by), "gap")).where("ratio is not null")
     step = lambda k: F.log10((k + 1) / k)
     ks = F.sequence(F.lit(1), F.lit(9))
     want = lambda k: F.when(k < 9, step(k + 1) / step(k)).otherwise(step(F.lit(1.0)) / step(F.lit(9.0)))
