@@ -171,3 +171,41 @@ def labels_of_regions(regions: DataFrame, labels: DataFrame, keys: list[str]) ->
 def color_roles(associations: DataFrame) -> DataFrame:
     """One role for each colour, by the smallest distance."""
     return associations.where("role is not null").groupBy("color").agg(F.min_by("role", F.struct("distance", "role")).alias("role"), F.min("distance").alias("distance"))
+
+
+def dimensions(arrows: DataFrame, shafts: DataFrame, segments: DataFrame, texts: DataFrame, reach: float, text_reach: float) -> DataFrame:
+    """Dimensions: a shaft with an outward arrowhead at both ends, witness lines there, a text at its middle.
+
+    Returns ``shaft_id, arrow_a, arrow_b, n_witness, text_id, text, length, confidence``.  The
+    score is .40 alignment, .30 text, .30 witness; without any text on the sheet
+    (.40 a + .30 w) / .70, held at .45 unless both ends have a witness line.
+    ``segments``: ``(id, ax, ay, ex, ey, x0, y0, x1, y1)``.
+    """
+    ends = S.ends(shafts).withColumnRenamed("id", "shaft_id").withColumn("length", G.distance(F.col("rx"), F.col("ry"), F.col("ox"), F.col("oy")))
+    heads = arrows.select("arrow_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "dx", "dy", "scale")
+    at = points_within(heads, ends, reach).where(F.col("length") >= 2 * F.col("scale"))
+    outward = F.try_divide((F.col("rx") - F.col("ox")) * F.col("dx") + (F.col("ry") - F.col("oy")) * F.col("dy"), "length")
+    best = at.withColumn("align", outward).groupBy("shaft_id", "which").agg(F.max_by(F.struct("arrow_id", "align"), F.struct("align", (-F.col("dist")).alias("d"), (-F.col("arrow_id")).alias("i"))).alias("b"))
+    best = best.where(F.col("b.align") > 0)
+    side = lambda k, s: best.where(F.col("which") == k).select("shaft_id", F.col("b.arrow_id").alias(f"arrow_{s}"), F.col("b.align").alias(f"align_{s}"))
+    both = side(0, "a").join(side(1, "b"), "shaft_id").where("arrow_a <> arrow_b")
+    # witness lines: across the shaft, through or near its end
+    own = ends.join(both.select("shaft_id"), "shaft_id")
+    near = own.select("shaft_id", "which", "rx", "ry", "ox", "oy", (F.col("rx") - reach).alias("lx0"), (F.col("ry") - reach).alias("ly0"), (F.col("rx") + reach).alias("lx1"), (F.col("ry") + reach).alias("ly1"))
+    lines = segments.select("id", "ax", "ay", "ex", "ey", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
+    met = boxes_meeting(near, lines, 10 * reach).where("id <> shaft_id")
+    turn = F.abs(G.direction(*map(F.col, ("ax", "ay", "ex", "ey"))) - G.direction(*map(F.col, ("ox", "oy", "rx", "ry"))))
+    square = F.abs(turn - 90) <= 20
+    touch = G.point_segment(F.col("rx"), F.col("ry"), *map(F.col, ("ax", "ay", "ex", "ey"))) <= reach
+    witness = met.where(square & touch).groupBy("shaft_id").agg(F.count_distinct("which").alias("n_witness"))
+    middle = ends.where("which = 0").select("shaft_id", ((F.col("rx") + F.col("ox")) / 2).alias("lx"), ((F.col("ry") + F.col("oy")) / 2).alias("ly"), "length")
+    said = points_within(middle, texts.select("text_id", "text", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach).groupBy("shaft_id").agg(F.min(F.struct("dist", "text_id", "text")).alias("t"))
+    any_text = texts.agg((F.count("*") > 0).alias("has_text"))
+    out = both.join(middle.select("shaft_id", "length"), "shaft_id").join(witness, "shaft_id", "left").join(said, "shaft_id", "left").crossJoin(F.broadcast(any_text))
+    n = F.coalesce("n_witness", F.lit(0))
+    a, w = (F.col("align_a") + F.col("align_b")) / 2, n / 2
+    t = F.when(F.col("t").isNotNull(), 1 - F.col("t.dist") / text_reach).otherwise(0.0)
+    bare = (0.40 * a + 0.30 * w) / 0.70
+    bare = F.when(n < 2, F.least(bare, F.lit(UNCORROBORATED))).otherwise(bare)
+    score = F.when(F.col("has_text"), 0.40 * a + 0.30 * t + 0.30 * w).otherwise(bare)
+    return out.select("shaft_id", "arrow_a", "arrow_b", n.alias("n_witness"), F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "length", _clamp(score).alias("confidence"))

@@ -167,3 +167,16 @@ def test_hull_and_rectangle():
     ring = A.hull([(0, 0), (4, 0), (4, 3), (0, 3), (2, 1), (4, 3)])
     assert A.area_of(ring) == 12 and A.tightest_rectangle(ring) == pytest.approx((12, 4, 3))
     assert A.hull([(1, 1), (1, 1)]) == [(1, 1)] and math.isclose(A.area_of([(0, 0), (1, 0)]), 0)
+
+
+def test_dimension_with_witness_lines_and_text(spark):
+    seg = [(1, 0.0, 0.0, 60.0, 0.0), (2, 0.0, -10.0, 0.0, 10.0), (3, 60.0, -10.0, 60.0, 10.0), (4, 0.0, 50.0, 60.0, 50.0)]
+    s = spark.createDataFrame([(*r, min(r[1], r[3]), min(r[2], r[4]), max(r[1], r[3]), max(r[2], r[4])) for r in seg], "id long, ax double, ay double, ex double, ey double, x0 double, y0 double, x1 double, y1 double")
+    heads = [(1, 0.0, 0.0, -1.0), (2, 60.0, 0.0, 1.0), (3, 0.0, 50.0, -1.0), (4, 60.0, 50.0, 1.0)]
+    arrows = spark.createDataFrame([(i, x, y, d, 0.0, 3.0) for i, x, y, d in heads], "arrow_id long, x double, y double, dx double, dy double, scale double")
+    texts = spark.createDataFrame([(9, 30.0, 2.0, "5'-0\"")], "text_id long, x double, y double, text string")
+    got = {r.shaft_id: r for r in C.dimensions(arrows, s, s, texts, 3.0, 20.0).collect()}
+    assert set(got) == {1, 4} and got[1].n_witness == 2 and got[1].text == "5'-0\"" and got[1].length == 60
+    assert got[1].confidence == pytest.approx(0.4 + 0.3 * 0.9 + 0.3) and got[4].confidence == pytest.approx(0.4)
+    bare = {r.shaft_id: r.confidence for r in C.dimensions(arrows, s, s, texts.limit(0), 3.0, 20.0).collect()}
+    assert bare[1] == pytest.approx(1.0) and bare[4] == pytest.approx(0.45)
