@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import linededup, mixing, quality, sentencepieces, simhash
+from folioscan.llm import linededup, mixing, quality, sentencepieces, similar
 from folioscan.llm.queries import table, tokenizer
 from folioscan.storage import materialize
 
@@ -43,8 +43,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
-    return _sheltered(docs, simhash.near_dedup)
+    """Of each group of documents of 5-word similarity 0.8 or more one stays."""
+    return _sheltered(docs, similar.near_dedup)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
