@@ -32,10 +32,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go from the texts; ``n_chars`` follows a changed text."""
+    """Cross-site boilerplate lines go from all texts; ``n_chars`` follows a changed text.
+
+    No document is left whole for its share of such lines; copies are the next stage's.
+    """
 
     def work(d: DataFrame) -> DataFrame:
-        cut = linededup.line_dedup(d)
+        cut = linededup.line_dedup(d, max_share=1.0)
         changed = F.col("n_removed") > 0
         return cut.withColumn("n_chars", F.when(changed, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
