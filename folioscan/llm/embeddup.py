@@ -9,8 +9,8 @@ from the shard's medoid to each class and expands: every class in range opens it
 neighbours until no new one is in range.  Pairs are verified by cosine in double
 precision before they link.
 
-A bounded sample of classes is audited against all rows; while recall stays under
-``RECALL`` the shards are made to overlap more and the graph is built again.
+Classes drawn without regard to what was found are audited against all rows; while
+their mean recall stays under ``RECALL`` the shards are made to overlap more and the graph is built again.
 
 Shards of more than ``PART`` classes are cut in parts that meet pairwise.  Shards return
 link counts and spanning stars, not pairs; a pair counts in the least shard both are in.
@@ -30,8 +30,10 @@ from folioscan.storage import materialize
 
 THRESHOLD = 0.9
 OVERLAP, PART, SHARD_ROWS = 3, 2048, 1500
-#: Classes that centres are fitted on, centres at most, audited classes.
-SAMPLE, CENTRES, AUDIT = 16384, 2048, 200
+#: Classes that centres are fitted on, centres at most, classes drawn at once for the audit.
+SAMPLE, CENTRES, AUDIT = 16384, 2048, 2048
+#: Classes with true links that an audit asks for, and classes it draws at most.
+LINKED, MOST = 200, 1 << 18
 RECALL = 0.98
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 #: A search opens neighbours this far below the threshold, so thin spots don't end it.
@@ -230,30 +232,45 @@ def _link(classes: DataFrame, centres: np.ndarray, overlap: int, width: int, thr
 
 
 def audit(classes: DataFrame, counts: DataFrame, width: int, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of sampled classes that were counted (1 if there is none).
+    """Mean over sampled classes of the share of their true links that were counted (1 if none has a link).
 
-    Half the sample is drawn from classes with links, so that rare links are audited too.
+    Classes are drawn by their ids alone, about ``sample`` at a time, whatever was found
+    for them, until ``LINKED`` of them truly have links, ``MOST`` are drawn or none is left.
     """
-    some = classes.join(counts, "rep", "left").select("rep", "v", F.coalesce("n", F.lit(0)).alias("n"))
-    picked = []
-    for cond in ("n > 0", "true"):
-        picked += some.where(cond).orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(sample // 2).collect()
-    if not picked:
-        return 1.0
+    slices = max(1, -(-classes.count() // sample))
+    turn = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(slices))
+    shares, drawn = [], 0
+    for i in range(slices):
+        some = classes.where(turn == i).select("rep", "v").join(counts, "rep", "left")
+        picked = some.select("rep", "v", F.coalesce("n", F.lit(0)).alias("n")).collect()
+        if not picked:
+            continue
+        true = _true_links(classes, picked, width, threshold)
+        shares += [min(r["n"], true[j]) / true[j] for j, r in enumerate(picked) if true.get(j)]
+        drawn += len(picked)
+        if len(shares) >= LINKED or drawn >= MOST:
+            break
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def _true_links(classes: DataFrame, picked: list, width: int, threshold: float) -> dict[int, int]:
+    """Weights of all other classes in range of each picked one that has any."""
     rep = np.array([r["rep"] for r in picked])
     x = unit(np.array([np.pad(r["v"], (0, width - len(r["v"]))) for r in picked]))
 
-    def true_links(batches):
-        n = np.zeros(len(rep), np.int64)
+    def met(batches):
         for b in batches:
-            hit = (x @ unit(matrix(b.column(1), width)).T >= threshold) & (rep[:, None] != b.column(0).to_numpy()[None, :])
-            n += hit.astype(np.int64) @ b.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rep))), pa.array(n)], names=["i", "n"])
-
-    got = classes.select("rep", "v", "weight").mapInArrow(true_links, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    true = {r["i"]: r["n"] for r in got}
-    total = sum(true.values())
-    return 1.0 if not total else sum(min(r["n"], true.get(i, 0)) for i, r in enumerate(picked)) / total
+            n = np.zeros(len(rep), np.int64)
+            y, ids, weight = unit(matrix(b.column(1), width)), b.column(0).to_numpy(), b.column(2).to_numpy()
+            for lo in range(0, len(ids), _AT_ONCE):
+                at = slice(lo, lo + _AT_ONCE)
+                hit = (x @ y[at].T >= threshold) & (rep[:, None] != ids[None, at])
+                n += hit.astype(np.int64) @ weight[at]
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(n[has])], names=["i", "n"])
+
+    got = classes.select("rep", "v", "weight").mapInArrow(met, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    return {r["i"]: r["n"] for r in got}
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
