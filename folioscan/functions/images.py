@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 HASH_SIDE, CONTRAST, CONFIDENT = 16, 8, 8
 FINE_TOLERANCE = 16
 THRESHOLD, MERGE, WEAKER = 0.55, 0.33, 0.2
+#: Sizes of an example that are looked for: half to about double in 12 % steps, of at least so many pixels a side.
+SCALES, LEAST_SIDE = tuple(round(0.5 * 1.12**i, 3) for i in range(13)), 5
 
 
 def fit_size(width: Column, height: Column, max_edge: Column, short_side: Column, unit: Column, max_units: Column) -> Column:
@@ -139,15 +141,27 @@ def correlation(image: np.ndarray, template: np.ndarray) -> np.ndarray:
     return np.where(var > 1e-9, cross / (np.sqrt(var) * norm + 1e-12), 0)
 
 
+def _taps(n: int, scale: float) -> np.ndarray:
+    """Weights of ``n`` samples for every resized one: area means to shrink, linear between centres to enlarge."""
+    m = max(1, round(n * scale))
+    at = np.arange(n)
+    if scale < 1:
+        lo, hi = np.arange(m)[:, None] / scale, np.minimum((np.arange(m)[:, None] + 1) / scale, n)
+        w = np.maximum(np.minimum(hi, at + 1) - np.maximum(lo, at), 0)
+    else:
+        w = np.maximum(1 - np.abs(np.clip((np.arange(m)[:, None] + 0.5) / scale - 0.5, 0, n - 1) - at), 0)
+    return w / w.sum(1, keepdims=True)
+
+
 def scaled(grid: np.ndarray, scale: float) -> np.ndarray:
-    return shrunk(grid, max(2, round(grid.shape[0] * scale)), max(2, round(grid.shape[1] * scale))) if scale != 1 else grid.astype(float)
+    return _taps(grid.shape[0], scale) @ grid @ _taps(grid.shape[1], scale).T if scale != 1 else grid.astype(float)
 
 
-def find_like(grids: DataFrame, keys: list[str], template: np.ndarray, scales: tuple[float, ...] = (1.0,), turns: tuple[int, ...] = (0, 90, 180, 270), threshold: float = THRESHOLD, most: int = 400) -> DataFrame:
+def find_like(grids: DataFrame, keys: list[str], template: np.ndarray, scales: tuple[float, ...] = SCALES, turns: tuple[int, ...] = (0, 90, 180, 270), threshold: float = THRESHOLD, most: int = 400) -> DataFrame:
     """``keys, x0, y0, x1, y1, score, turn, scale`` of places like a template (X24), best first and without overlaps."""
     types = {f.name: f.dataType.simpleString() for f in grids.schema.fields}
     names = [*keys, "x0", "y0", "x1", "y1", "score", "turn", "scale"]
-    looks = [(s, r, np.rot90(scaled(template, s), r // 90)) for s in scales for r in turns]
+    looks = [(s, r, np.rot90(t, r // 90)) for s in scales for t in [scaled(template, s)] if min(t.shape) >= LEAST_SIDE for r in turns]
 
     def found(image: np.ndarray) -> list[tuple]:
         hits = []

@@ -73,7 +73,7 @@ def g19_difference_hashes(spark, sf_dir):
 def x24_find_like(spark, sf_dir):
     first = derive.table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
     mark = np.where(np.asarray(first).reshape(8, 8) > 0, 0, 255).astype(np.uint8)
-    return I.find_like(_grids(spark, sf_dir), ["vec_id"], mark, turns=(0, 180), threshold=0.8)
+    return I.find_like(_grids(spark, sf_dir), ["vec_id"], mark)
 
 
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS place, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS payload FROM nation), u AS (SELECT *, sum(length(payload) + 1) OVER (ORDER BY place) + 2 AS used FROM r WHERE place >= 3) SELECT place::INT AS place, payload FROM u WHERE used <= 300 OR place = 3")
