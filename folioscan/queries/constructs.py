@@ -12,9 +12,13 @@ from folioscan.registry import query
 SEG, PNT = derive.with_sql("segment"), derive.with_sql("point")
 
 
-def _texts(spark, sf_dir):
+def _all_texts(spark, sf_dir):
     p = derive.points(spark, sf_dir)
-    return p.where("pid % 3 = 0").select(F.col("pid").alias("text_id"), "x", "y", F.concat(F.lit("K"), (F.col("pid") % 50).cast("string")).alias("text"))
+    return p.select(F.col("pid").alias("text_id"), "x", "y", F.concat(F.lit("K"), (F.col("pid") % 50).cast("string")).alias("text"))
+
+
+def _texts(spark, sf_dir):
+    return _all_texts(spark, sf_dir).where("text_id % 3 = 0")
 
 
 _ARROW = "arrow AS (SELECT id AS arrow_id, ax + 1 AS x, ay AS y, 1.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, 3.0::DOUBLE AS scale FROM segment WHERE id % 5 = 0)"
@@ -118,13 +122,13 @@ def j9_labels_of_regions(spark, sf_dir):
     s = derive.segments(spark, sf_dir)
     pt = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
     regions = s.where("id % 3 = 0").select("layer", F.col("id").alias("region_id"), F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("vertices"), "x0", "y0", "x1", "y1")
-    labels = s.where("id % 3 = 1").select("layer", F.col("id").alias("label_id"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    labels = s.where("id % 3 <> 0").select("layer", F.col("id").alias("label_id"), F.col("ax").alias("x"), F.col("ay").alias("y"))
     return C.labels_of_regions(regions, labels, ["layer"])
 
 
 @query()
 def x2_j6_dimensions(spark, sf_dir):
     s = derive.segments(spark, sf_dir)
-    head = lambda end, other, k: s.where("id % 3 = 0").select((F.col("id") * 2 + k).alias("arrow_id"), F.col(f"{end}x").alias("x"), F.col(f"{end}y").alias("y"), ((F.col(f"{end}x") - F.col(f"{other}x")) / F.col("n")).alias("dx"), ((F.col(f"{end}y") - F.col(f"{other}y")) / F.col("n")).alias("dy"), F.lit(3.0).alias("scale"))
+    head = lambda end, other, k: s.select((F.col("id") * 2 + k).alias("arrow_id"), F.col(f"{end}x").alias("x"), F.col(f"{end}y").alias("y"), ((F.col(f"{end}x") - F.col(f"{other}x")) / F.col("n")).alias("dx"), ((F.col(f"{end}y") - F.col(f"{other}y")) / F.col("n")).alias("dy"), F.lit(3.0).alias("scale"))
     s = s.withColumn("n", F.greatest(F.sqrt((F.col("ex") - F.col("ax")) ** 2 + (F.col("ey") - F.col("ay")) ** 2), F.lit(1e-9)))
-    return C.dimensions(head("a", "e", 0).unionByName(head("e", "a", 1)), s, s, _texts(spark, sf_dir), 4.0, 30.0)
+    return C.dimensions(head("a", "e", 0).unionByName(head("e", "a", 1)), s, s, _all_texts(spark, sf_dir), 4.0, 30.0)
