@@ -9,13 +9,32 @@ BAND = 0.08
 DIVIDER_MAX_WORDS = 60
 UNRELIABLE = 0.10
 # The words that open a divider page, and whole divider titles.
-DIVIDER_WORDS = "appendix attachment addendum annex exhibit item section part tab chapter volume schedule enclosure cover contents index transmittal figures tables plates photographs calculations drawings specifications".split()
+DIVIDER_WORDS = [
+    "appendix", "attachment", "addendum", "annex", "exhibit", "item", "section", "part",
+    "tab", "chapter", "volume", "schedule", "enclosure", "cover", "contents", "index",
+    "transmittal", "figures", "tables", "plates", "photographs", "calculations", "drawings", "specifications",
+]
 DIVIDER_TITLES = ("table of contents", "contents", "cover", "cover sheet", "transmittal", "letter of transmittal", "index", "drawings", "calculations", "specifications", "figures", "tables", "photographs", "boring logs", "back to toc page")
 # Roles of section labels.
 WATER = ("gwt", "phreatic", "water table", "groundwater", "ground water", "water level", "piezometric")
 SURFACE = ("ground surface", "existing grade", "existing ground", "ground line", "finished grade", "grade", "ground level")
-SYMBOLS = {"Clay": "cl ch", "Silt": "ml mh", "Sand": "sp sw sm sc", "Gravel": "gp gw gm gc", "Peat": "pt"}
-NOUNS = {"Clay": "clay", "Silt": "silt", "Sand": "sand", "Gravel": "gravel", "Fill": "fill embankment", "Rock": "rock bedrock shale limestone sandstone", "Peat": "peat organic", "Till": "till glacial"}
+SYMBOLS = {
+    "Clay": ["cl", "ch"],
+    "Silt": ["ml", "mh"],
+    "Sand": ["sp", "sw", "sm", "sc"],
+    "Gravel": ["gp", "gw", "gm", "gc"],
+    "Peat": ["pt"],
+}
+NOUNS = {
+    "Clay": ["clay"],
+    "Silt": ["silt"],
+    "Sand": ["sand"],
+    "Gravel": ["gravel"],
+    "Fill": ["fill", "embankment"],
+    "Rock": ["rock", "bedrock", "shale", "limestone", "sandstone"],
+    "Peat": ["peat", "organic"],
+    "Till": ["till", "glacial"],
+}
 
 
 def squeeze(text: Column) -> Column:
@@ -137,9 +156,9 @@ def label_role(text: Column) -> Column:
     out = F.when(F.greatest(*(F.contains(t, F.lit(w)).cast("int") for w in WATER)) == 1, "gwt")
     out = out.when(F.greatest(*(F.contains(t, F.lit(w)).cast("int") for w in SURFACE)) == 1, "surface")
     for name, symbols in SYMBOLS.items():
-        for s in symbols.split():
+        for s in symbols:
             out = out.when(F.array_contains(tokens, s), f"boundary_{name}")
-    ends = [F.struct((F.length(t) - F.locate(w[::-1], F.reverse(t)) - len(w) + 1).alias("at"), F.lit(-k).alias("k"), F.lit(f"boundary_{name}").alias("role"), (F.locate(w[::-1], F.reverse(t)) > 0).alias("ok")) for k, (name, w) in enumerate((n, w) for n, ws in NOUNS.items() for w in ws.split())]
+    ends = [F.struct((F.length(t) - F.locate(w[::-1], F.reverse(t)) - len(w) + 1).alias("at"), F.lit(-k).alias("k"), F.lit(f"boundary_{name}").alias("role"), (F.locate(w[::-1], F.reverse(t)) > 0).alias("ok")) for k, (name, w) in enumerate((n, w) for n, ws in NOUNS.items() for w in ws)]
     best = F.array_max(F.transform(F.filter(F.array(*ends), lambda e: e["ok"]), lambda e: F.struct(e["at"].alias("at"), e["k"].alias("k"), e["role"].alias("role"))))
     return out.otherwise(best["role"])
 

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 # Spellings of lengths, and physical lengths in metres.  Points and
 # pixels are no physical lengths until a scale is applied.
 SPELLINGS = {
-    "pt": "pt pts point points", "px": "px pixel pixels", "in": 'in inch inches "', "ft": "ft foot feet '", "yd": "yd yard yards",
-    "mm": "mm millimetre millimeter", "cm": "cm centimetre centimeter", "m": "m metre meter metres meters", "km": "km kilometre kilometer", "mi": "mi mile miles",
-}
+    "pt": ["pt", "pts", "point", "points"],
+    "px": ["px", "pixel", "pixels"],
+    "in": ["in", "inch", "inches", '"'],
+    "ft": ["ft", "foot", "feet", "'"],
+    "yd": ["yd", "yard", "yards"],
+    "mm": ["mm", "millimetre", "millimeter"],
+    "cm": ["cm", "centimetre", "centimeter"],
+    "m": ["m", "metre", "meter", "metres", "meters"],
+    "km": ["km", "kilometre", "kilometer"],
+    "mi": ["mi", "mile", "miles"],
+}
 METRES = {"in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mm": 0.001, "cm": 0.01, "m": 1.0, "km": 1000.0, "mi": 1609.344}
 NUMBER = r"(?:[0-9]+\s+[0-9]+\s*/\s*[0-9]+|[0-9]+\s*/\s*[0-9]+|[0-9]*\.[0-9]+|[0-9]+)"
 
@@ -28,7 +36,7 @@ def _lookup(table: dict[str, float | str]) -> Column:
 
 def normal_unit(unit: Column) -> Column:
     """Canonical spelling; unknown units pass unchanged."""
-    table = {s: u for u, spelled in SPELLINGS.items() for s in spelled.split()}
+    table = {s: u for u, spelled in SPELLINGS.items() for s in spelled}
     return F.coalesce(_lookup(table)[F.lower(F.trim(unit))], F.trim(unit))
 
 
@@ -122,5 +130,5 @@ def combine_uncertainty(*parts: Column) -> Column:
 
 def scaled(q: Column, factor: Column, units: Column, confidence: Column, rel: Column) -> Column:
     """The one way a quantity changes its unit system; a zero factor is an error."""
-    ok = F.when(factor == 0, F.raise_error(F.lit("scale factor must be non-zero"))).otherwise(factor)
+    ok = F.when(factor == 0, F.raise_error(F.lit("a scale of zero converts nothing"))).otherwise(factor)
     return quantity(q["value"] * ok.cast("double"), units, combine_confidence(q["confidence"], confidence), combine_uncertainty(q["rel_uncertainty"], rel))

@@ -24,6 +24,7 @@ def page_kind(area: Column, chars: Column, cad_chars: Column, paths: Column, cov
     def is_(kind: str, rule: Column | str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"))
 
+    # The sentence of each rule.
     seen = F.when(optical, "mostly image, text read optically").otherwise("mostly image, no text layer")
     out = (
         F.when((every < 5) & (paths < 5) & (coverage < 0.02), is_("blank", "no text, linework or images"))
