@@ -1,7 +1,9 @@
 """Cutting lineage with written tables in the folder that all executors share.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``.  Only
-where that setting is absent (unit tests, a laptop) is a private one made.
+The folder is the one that the cluster names in ``spark.checkpoint.dir``.  Only a
+session that runs in one process (``local[...]``: unit tests, a laptop) may leave it
+unset; a private folder is made there.  On a cluster a folder of one machine would lose
+what it holds with that machine, so an unset one is an error.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI, set on the context if nothing had set it."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder's URI; set on the context where nothing had set it and one process runs all."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscan-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -51,18 +55,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def spread(df: DataFrame, least: int = 1 << 20, most: int = 32 << 20) -> DataFrame:
-    """``df`` dealt over all cores if its input is small and in fewer files than cores.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files give fewer splits than there are cores.
 
-    One file of one row group is one task, however many cores wait; for work that is
-    heavy on each row a small shuffle is cheaper.  Inputs of over ``most`` bytes a core,
-    or of many files, are left as they are.
+    One file of one row group is one task, however many cores wait; tables of many splits
+    are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if least <= size < most * cores and 0 < len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if 1 <= df.rdd.getNumPartitions() < cores else df
 
 
 def cleanup(spark: SparkSession) -> None:
