@@ -7,9 +7,6 @@ below the threshold are dropped, those well above are boilerplate, and lines nea
 threshold get an exact count of distinct sites.  A boilerplate line stays in its first
 document (least id, then least text key, then line order) and goes from every other.
 
-A document most of whose characters would go is a copy of other documents rather than
-a page with boilerplate; it is left whole for near-duplicate removal.
-
 Everything is built from DataFrame functions.
 """
 
@@ -59,7 +56,6 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 def line_dedup(
     docs: DataFrame,
     min_sites: int = 8,
-    max_share: float = 0.5,
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
@@ -68,9 +64,10 @@ def line_dedup(
 
     Lines end at U+000A and are compared without surrounding spaces; blank lines always
     stay.  A null site is a site of its own.  A null text stays null, an empty one
-    empty.  Rows equal in id and text are treated alike; all columns pass through.
-    ``max_share``: documents that would lose more of their line characters stay whole.
+    empty.  Rows equal in id and text are treated alike, null ids too.  All columns pass
+    through, but one that is named ``n_removed`` already gives way to the operator's.
     """
+    docs = docs.drop("n_removed")
     lines = _lines(docs, id_col, text_col, site_col)
     plates = materialize(boilerplate_lines(lines, min_sites), "lines")
     hits = lines.join(plates, ["h1", "h2"]).where(F.col("first") != F.struct("doc", "at"))
@@ -79,18 +76,28 @@ def line_dedup(
     doc = F.struct(F.col(id_col).alias("id"), *(k.alias(f"k{i}") for i, k in enumerate(_key(text))))
     rows = docs.withColumn("__key", doc)
     rows = rows.join(gone, F.col("__key") == F.col("__doc"), "left")
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    rows = rows.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    cut = F.when(F.col("n_removed") > 0, _without(F.split(text, "\n"), F.sort_array("__gone"))).otherwise(text)
+    return rows.withColumn(text_col, cut).drop("__gone", "__doc", "__key")
 
-    def chars(parts: Column) -> Column:
-        return F.length(F.array_join(F.transform(parts, F.trim), ""))
 
-    small = chars(kept) >= (1 - max_share) * chars(F.split(text, "\n"))
-    rows = rows.withColumn("n_removed", F.when(F.col("__gone").isNotNull() & small, F.size("__gone")).otherwise(0).cast("long"))
-    cut = F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(text)
-    return rows.withColumn(text_col, cut).drop("__gone", "__doc", "__key")
+def _without(lines: Column, gone: Column) -> Column:
+    """The text of the lines but those at the sorted places ``gone``: the runs between them, in linear time."""
+
+    def runs(x: Column) -> Column:
+        def run(k: Column) -> Column:
+            first = F.when(k == 0, 0).otherwise(F.get(x["gone"], k - 1) + 1)
+            stop = F.coalesce(F.get(x["gone"], k), F.size(x["lines"]))
+            return F.slice(x["lines"], first + 1, stop - first)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["gone"])), run)), "\n")
+
+    # bound once, however often the runs name it
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), runs), 1)
 
 
-def oracle_sql(min_sites: int = 8, max_share: float = 0.5) -> str:
+def oracle_sql(min_sites: int = 8) -> str:
     """DuckDB SQL for ``(doc_id, text, n_removed)`` of the documents table with distinct ids."""
     return f"""
 WITH cut AS (
@@ -105,10 +112,8 @@ marked AS (
   SELECT l.*, p.line IS NOT NULL AND (p.first.d, p.first.a) <> (l.doc_id, l.pos) AS gone
   FROM lines l LEFT JOIN plates p ON l.line = p.line),
 docs AS (
-  SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n,
-         coalesce(sum(length(line)) FILTER (NOT gone), 0) AS left_chars, sum(length(line)) AS all_chars
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n
   FROM marked GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN n > 0 AND left_chars >= (1 - {max_share}) * all_chars THEN kept ELSE d.text END AS text,
-       CASE WHEN n > 0 AND left_chars >= (1 - {max_share}) * all_chars THEN n ELSE 0 END AS n_removed
+SELECT d.doc_id, CASE WHEN n > 0 THEN coalesce(kept, '') ELSE d.text END AS text, coalesce(n, 0) AS n_removed
 FROM documents d LEFT JOIN docs USING (doc_id)
 """

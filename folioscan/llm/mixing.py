@@ -11,7 +11,8 @@ come nearest to what the certain copies leave of the target.
 The random number comes from a digest of the id and the seed, so reruns and lost
 executors give the same mix.  No source is ever sorted as a whole: words are summed
 for each of ``CELLS`` cells of the rank, running sums find the cell in which a source's
-sample ends, and only that cell's documents are ordered.
+sample ends, that cell is cut in ``CELLS`` again, and only the documents of the cell in
+which the sample ends there, one in 67 million of a source, are ordered.
 """
 
 from __future__ import annotations
@@ -66,42 +67,60 @@ def mix(
 
     ``taken`` is ``size`` times the copies the mix takes of a document.  A null source
     is a source of its own; a null text has size 0 and takes nothing; rows equal in id
-    and text are drawn alike but taken one by one.  All columns pass through.
-    ``size_col`` names a column that holds the sizes already.
+    and text are drawn alike but taken one by one.  ``size_col`` names a column that holds
+    the sizes already.  All columns pass through, but those that bear one of the four
+    names already give way to the operator's.
     """
+    size = (F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))).alias("__size")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    text_key = F.xxhash64(text_col)
-    base = docs.withColumn("size", F.col(size_col).cast("long") if size_col else word_count(F.col(text_col)))
-    base = base.withColumn("__u", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**48))
-    base = base.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit("\U0010ffff")))
-    totals = base.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, share, most, weights)
-    plan = targets.select(
-        F.coalesce("source", F.lit("\U0010ffff")).alias("__s"), "source_size", "target",
+    uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**48)
+    # a key that no source's name can equal another's, the null one's included
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
+    added = [size, uniform.alias("__u"), key.alias("__s"), F.xxhash64(text_col).alias("__t")]
+    # texts are read once for all sums
+    slim = materialize(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("__id"), *added), "mix")
+    totals = slim.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    plan = source_targets(totals, share, most, weights).select(
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"),
         F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("__whole"),
     )
-    plan = plan.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size"))
-    plan = plan.withColumn("__p", F.when(F.col("source_size") > 0, F.col("__left") / F.col("source_size")).otherwise(0.0))
+    plan = plan.withColumn("__left", F.col("__target") - F.col("__whole") * F.col("__total"))
+    plan = plan.withColumn("__p", F.when(F.col("__total") > 0, F.col("__left") / F.col("__total")).otherwise(0.0))
     plan = materialize(plan, "mix")
     # the Pareto statistic q of probability p; z = q / (1 + q) is in (0, 1) and has its order
     odds = F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
-    ranked = base.join(plan, "__s").withColumn("__q", odds).withColumn("__cell", F.floor(F.col("__q") / (1 + F.col("__q")) * CELLS))
-    cells = ranked.where("__p > 0").groupBy("__s", "__cell", "__left").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("__s").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("upto", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    # the sample ends in the last cell that begins below the target
-    ends = cells.where(F.col("upto") < F.col("__left")).groupBy("__s").agg(F.max(F.struct("__cell", "upto")).alias("e"))
-    ends = materialize(ends.select("__s", F.col("e.__cell").alias("__end"), F.col("e.upto").alias("__upto")), "mix")
-    order = Window.partitionBy("__s").orderBy("__q", F.col(id_col), "size", text_key)
-    placed = ranked.join(ends, "__s", "left")
+    cell = F.least(F.floor(F.col("__q") / (1 + F.col("__q")) * CELLS**2), F.lit(CELLS**2 - 1))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.join(plan, "__s").withColumn("__q", odds).withColumn("__cell", cell)
+
+    wide = ranked(slim).where("__p > 0")
+    coarse = wide.groupBy("__s", F.floor(F.col("__cell") / CELLS).alias("c"), "__left").agg(F.sum("__size").alias("words"))
+    ends = _end(coarse, F.lit(0))
+    ends = materialize(ends.withColumnsRenamed({"c": "__coarse", "upto": "__before"}), "mix")
+    inside = wide.join(ends, "__s").where(F.floor(F.col("__cell") / CELLS) == F.col("__coarse"))
+    fine = inside.groupBy("__s", F.col("__cell").alias("c"), "__left", "__before").agg(F.sum("__size").alias("words"))
+    ends = materialize(_end(fine, F.col("__before")).withColumnsRenamed({"c": "__end", "upto": "__upto"}), "mix")
+    names = ("size", "source_size", "target", "taken")
+    kept = [F.col(c) for c in docs.columns if c not in names]
+    placed = ranked(docs.select(*kept, F.col(id_col).alias("__id"), *added)).join(ends, "__s", "left")
+    order = Window.partitionBy("__s").orderBy("__q", "__id", "__size", "__t")
     edge = placed.where(F.col("__cell") == F.col("__end"))
-    edge = edge.withColumn("__b", F.col("__upto") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = edge.withColumn("__in", F.col("__b") + F.col("size") / 2 <= F.col("__left"))
+    edge = edge.withColumn("__b", F.col("__upto") + F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = edge.withColumn("__in", F.col("__b") + F.col("__size") / 2 <= F.col("__left")).drop("__b")
     rest = placed.where(~F.col("__cell").eqNullSafe(F.col("__end")) | F.col("__end").isNull())
     rest = rest.withColumn("__in", F.coalesce(F.col("__cell") < F.col("__end"), F.lit(False)))
-    out = edge.drop("__b").unionByName(rest)
-    taken = F.col("size") * (F.col("__whole") + F.when(F.col("__in"), 1).otherwise(0))
-    return out.withColumn("taken", taken.cast("long")).drop("__s", "__u", "__q", "__cell", "__end", "__upto", "__in", "__whole", "__left", "__p")
+    taken = (F.col("__size") * (F.col("__whole") + F.when(F.col("__in"), 1).otherwise(0))).cast("long")
+    shown = [F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken")]
+    return edge.unionByName(rest).select(*kept, *shown)
+
+
+def _end(cells: DataFrame, before: Column) -> DataFrame:
+    """``(__s, c, upto)``: the last cell of each source that begins below what is left of its target."""
+    run = Window.partitionBy("__s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("upto", before + F.coalesce(F.sum("words").over(run), F.lit(0)))
+    last = cells.where(F.col("upto") < F.col("__left")).groupBy("__s").agg(F.max(F.struct("c", "upto")).alias("e"))
+    return last.select("__s", "e.c", "e.upto")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from folioscan.llm import mixing, quality
 from folioscan.llm.queries import table, tokenizer
 from folioscan.storage import materialize
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_components
 
 D = "/root/testdata/sf0.001"
 
@@ -57,15 +57,13 @@ def test_line_dedup_matches_brute_force(stages):
     for i, r in before.items():
         lines = r.text.split("\n")
         kept = [x for k, x in enumerate(lines) if not (len(sites[x.strip(" ")]) >= 8 and first[x.strip(" ")] != (i, k)) or not x.strip(" ")]
-        if sum(len(x.strip(" ")) for x in kept) < 0.5 * sum(len(x.strip(" ")) for x in lines):
-            kept = lines
         assert after[i].text == "\n".join(kept)
         assert after[i].n_chars == (r.n_chars if kept == lines else len(after[i].text))
 
 
 def test_near_dedup_matches_brute_force(stages):
     before, after = rows(stages[2]), rows(stages[3])
-    comp = brute_components({i: brute_fingerprint(r.text) for i, r in before.items()})
+    comp = brute_components({i: r.text for i, r in before.items()})
     assert set(after) == set(comp.values()) and all(after[i] == before[i] for i in after)
 
 
@@ -162,3 +160,46 @@ def test_quality_is_accurate_on_other_labels(spark):
     teach, hold = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = quality.quality(docs, teach).join(hold, "doc_id").select("keep", "quality").collect()
     assert np.mean([r.keep == bool(r.quality) for r in got]) > 0.95
+
+
+def test_mix_on_awkward_rows(spark):
+    schema = "doc_id long, text string, source string, source_size string, target int, n long"
+    rows = [(1, "a b c", "\U0010ffff", "x", 1, 1), (2, "d e", None, "y", 2, 2), (3, "f", "\U0010ffff", "z", 3, 3), (None, None, None, None, None, None), (4, "", "s", "w", 4, 4), (1, "a b c", "\U0010ffff", "x", 1, 1)]
+    got = mixing.mix(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "source", "n", "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert len(rows) == 6
+    assert {(r.source, r.source_size) for r in rows} == {("\U0010ffff", 7), (None, 2), ("s", 0)}
+    assert all(r.taken <= 2 * r.size for r in rows)
+    assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_the_last_cell_is_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    rng = np.random.default_rng(5)
+    docs = {i: (i, " ".join(["w"] * int(rng.integers(0, 40))), f"s{i % 3}") for i in range(400)}
+    df = spark.createDataFrame(list(docs.values()), "doc_id long, text string, source string")
+    _, _, _, taken = brute_mix({r.doc_id: r for r in df.collect()})
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == taken
+
+
+def test_lines_of_awkward_rows(spark):
+    plate = "the same line on every site"
+    rows = [(i, f"{plate}\nown line {i}", f"s{i}", 5) for i in range(9)] + [(None, plate, "s1", 5), (None, None, "s2", 5), (20, "", None, 5), (21, f"{plate}\n{plate}", "s3", 5)]
+    from folioscan.llm import linededup
+
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed long"))
+    assert got.columns == ["doc_id", "text", "source", "n_removed"]
+    by = sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str)
+    # the least id is null, which is before all others
+    want = [(i, f"own line {i}", 1) for i in range(9)] + [(None, plate, 0), (None, None, 0), (20, "", 0), (21, "", 2)]
+    assert by == sorted(want, key=str)
+
+
+def test_lines_of_one_long_text(spark):
+    from folioscan.llm import linededup
+
+    plate = [f"plate {k}" for k in range(5000)]
+    rows = [(i, "\n".join(plate), f"s{i}") for i in range(8)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == ("\n".join(plate), 0) and all(got[i] == ("", 5000) for i in range(1, 8))
