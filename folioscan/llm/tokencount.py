@@ -1,25 +1,27 @@
 """Token counts by prefix dynamic programming.
 
-A text is normalised and cut in pretokens as the tokenizer file says; for every
-distinct pretoken the lattice stores the number of tokens of each of its prefixes,
-and a running sum over pretokens gives the exact number at every prefix of the text.
-Truncation and budget questions are then look-ups; nothing is encoded again.
+A text is cut at white space; for every distinct run between, the tokenizer's own
+normaliser and pre-tokenizer give its pretokens (plain ASCII runs take the same rules by
+`regex`), and the lattice stores the number of tokens of each.  A running sum over them
+gives the exact number at every pretoken of the text, and `Prefixes` stores the number at
+every prefix.  Truncation and budget questions are then look-ups; nothing is encoded again.
 
 The counts equal the library's for files of the kind served here: byte-level merges
-with an end-of-word mark over NFC, single-spaced, lower-cased text.  Special strings
-inside a text are one token each, as is that library's default.
+with an end-of-word mark over NFC, single-spaced, lower-cased text, in which no pretoken
+holds white space.  Special strings inside a text are one token each, as is that
+library's default.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from folioscan.storage import small_batches
 CLOSING = 256
 _WORDS_KEPT = 250_000
 _CHARS_AT_ONCE = 1 << 20
+_RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _loaded: dict[str, WordCounter] = {}
 
 
@@ -51,9 +54,10 @@ class WordCounter:
         if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"] or splits[0]["behavior"] != "Removed":
             raise ValueError(f"{path}: not a tokenizer of the kind counted here")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.space = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
-        self.words = regex.compile(splits[0]["pattern"]["Regex"])
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.space = re.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"], re.ASCII)
+        # for ASCII text letters and digits are these, and white space is that of the C library
+        self.words = re.compile(splits[0]["pattern"]["Regex"].replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9"), re.ASCII)
         to_byte, vocab = byte_alphabet(), model["vocab"]
         pieces: list[tuple[int, ...]] = [()] * (max(vocab.values()) + 1)
         for text, i in vocab.items():
@@ -64,18 +68,25 @@ class WordCounter:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self._normaliser, self._splitter = library.normalizer, library.pre_tokenizer
         self.lattice = Lattice(pieces, merges)
         self.known: dict[str, int] = {}
+        self.closed: dict[str, list[int]] = {}
+        self._broken: dict[tuple[str, str], list[int]] = {}
+        #: Tokens of each pretoken of a run.
+        self.runs: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
-        return self.space.sub(" ", unicodedata.normalize("NFC", text)).lower()
+        return self.space.sub(" ", text).lower() if text.isascii() else self._normaliser.normalize_str(text.encode("utf-8", "replace").decode())
 
-    def pretokens(self, text: str) -> tuple[list[str], int]:
-        """The pretokens of a text, and how many special strings it has besides."""
-        if "<|" not in text:
-            return self.words.findall(self.normalise(text)), 0
-        parts = self.cut.split(text)
-        return [w for p in parts[::2] for w in self.words.findall(self.normalise(p))], len(parts) // 2
+    def find(self, normal: str) -> list[tuple[int, str]]:
+        """The pretokens of normalised text and where they begin."""
+        if normal.isascii():
+            return [(m.start(), m[0]) for m in self.words.finditer(normal)]
+        return [(a, normal[a:b]) for _, (a, b) in self._splitter.pre_tokenize_str(normal)]
 
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -93,8 +104,48 @@ class WordCounter:
             _, count = self.lattice.solve(symbols, lengths)
             self.known.update(zip(new, count[np.cumsum(lengths) - 1].tolist()))
 
-    def count(self, words: list[str]) -> list[int]:
-        return [self.known[w] for w in words]
+    def learn_runs(self, runs: set[str]) -> None:
+        """Store the counts of the pretokens of the runs that are new."""
+        if len(self.runs) > _WORDS_KEPT:
+            self.runs.clear()
+        if new := [r for r in runs if r not in self.runs]:
+            cut = [[w for _, w in self.find(self.normalise(r))] for r in new]
+            self.learn({w for words in cut for w in words})
+            for r, words in zip(new, cut):
+                self.runs[r] = tuple(self.known[w] for w in words)
+
+    def learn_prefixes(self, words: set[str]) -> None:
+        """Store the number of tokens of every prefix of the words, each prefix taken as a text."""
+        if len(self.closed) > _WORDS_KEPT:
+            self.closed.clear()
+        parts: dict[str, list[list[str]]] = {}
+        for w in words:
+            if w not in self.closed:
+                # a prefix may fall apart ("'re" into "'" and "r")
+                parts[w] = [[x for _, x in self.find(w[:k])] for k in range(1, len(w) + 1)] if w[0] == "'" else []
+        if not parts:
+            return
+        pieces = list(dict.fromkeys([w for w in parts] + [x for rows in parts.values() for row in rows for x in row]))
+        symbols, lengths = self._symbols(pieces)
+        counts = self.lattice.solve(symbols, lengths, CLOSING)[2]
+        ends = np.cumsum(lengths)
+        whole = dict(zip(pieces, counts[ends - 1].tolist()))
+        first = dict(zip(pieces, (ends - lengths).tolist()))
+        for w, rows in parts.items():
+            if rows:
+                self.closed[w] = [0, *(sum(whole[x] for x in row) for row in rows)]
+            else:
+                width = np.cumsum([len(c.encode("utf-8", "replace")) for c in w])
+                self.closed[w] = [0, *counts[first[w] + width - 1].tolist()]
+
+    def broken(self, before: str, special: str) -> list[int]:
+        """Tokens of ``before`` and each part of a special string right behind it, as plain text."""
+        key = (before, special)
+        if key not in self._broken:
+            cut = [[w for _, w in self.find(before + self.normalise(special[:k]))] for k in range(len(special))]
+            self.learn({w for words in cut for w in words})
+            self._broken[key] = [sum(self.known[w] for w in words) for words in cut]
+        return self._broken[key]
 
     def prefixes(self, text: str) -> Prefixes:
         return Prefixes(self, text)
@@ -116,29 +167,36 @@ class Prefixes:
                 self._pieces.append((at, part, None))
             else:
                 part = counter.normalise(part)
-                self._pieces += [(at + m.start(), m[0], m[0]) for m in counter.words.finditer(part)]
+                self._pieces += [(at + a, w, w) for a, w in counter.find(part)]
             at += len(part)
             texts.append(part)
-        self.text, self._counter = "".join(texts), counter
-        counter.learn({w for _, _, w in self._pieces if w is not None})
-        for start, shown, word in self._pieces:
-            run += 1 if word is None else counter.known[word]
+        self.text = "".join(texts)
+        words = {w for _, _, w in self._pieces if w is not None}
+        counter.learn_prefixes(words)
+        #: Tokens at every prefix of each distinct pretoken.
+        self._closed = {w: counter.closed[w] for w in words}
+        #: For a special string that is cut: the count before it and what its part adds, with the pretoken it touches.
+        self._parts: dict[int, tuple[int, list[int]]] = {}
+        for k, (start, shown, word) in enumerate(self._pieces):
+            if word is None:
+                touched = k > 0 and self.ends[-1] == start and self._pieces[k - 1][2] is not None
+                base = (self.counts[k - 2] if k > 1 else 0) if touched else run
+                self._parts[k] = base, counter.broken(self._pieces[k - 1][1] if touched else "", shown)
+            run += 1 if word is None else self._closed[word][-1]
             self.ends.append(start + len(shown))
             self.counts.append(run)
 
     def at(self, chars: int) -> int:
-        """Tokens of the first ``chars`` characters of the normalised text."""
+        """Tokens of the first ``chars`` characters of the normalised text, by look-up."""
         k = bisect_right(self.ends, chars)
         before = self.counts[k - 1] if k else 0
         if k == len(self._pieces) or self._pieces[k][0] >= chars:
             return before
-        start, shown, _ = self._pieces[k]
-        # a cut pretoken may fall apart ("'re" into "'" and "r")
-        total = before
-        for w in self._counter.words.findall(shown[: chars - start]):
-            symbols, lengths = self._counter._symbols([w])
-            total += int(self._counter.lattice.solve(symbols, lengths, CLOSING)[2][-1])
-        return total
+        start, _, word = self._pieces[k]
+        if word is None:
+            base, parts = self._parts[k]
+            return base + parts[chars - start]
+        return before + self._closed[word][chars - start]
 
     def cut(self, budget: int) -> int:
         """Characters of the longest prefix ending with a pretoken that fits the budget."""
@@ -152,26 +210,72 @@ def counter(path: str) -> WordCounter:
     return _loaded[path]
 
 
+def _runs(c: WordCounter, text: str) -> list[str | None]:
+    """Runs between ASCII white space; None stands for a special string."""
+    if "<|" not in text:
+        return _RUN.findall(text)
+    out: list[str | None] = []
+    for k, part in enumerate(c.cut.split(text)):
+        out += [None] if k % 2 else _RUN.findall(part)
+    return out
+
+
+def _fit(c: WordCounter, text: str, limit: int) -> int:
+    """Pretokens of the longest prefix within the limit; special strings take a token and are no pretokens."""
+    left, words, runs = limit, 0, _runs(c, text)
+    for lo in range(0, len(runs), limit + 1):  # a run has a token at least, but for odd white space
+        some = runs[lo : lo + limit + 1]
+        c.learn_runs({r for r in some if r is not None})
+        for r in some:
+            for n, word in ((1, 0),) if r is None else ((n, 1) for n in c.runs[r]):
+                if n > left:
+                    return words
+                left, words = left - n, words + word
+    return words
+
+
+class _Held(NamedTuple):
+    """A text in parts: pretokens of its plain runs, its other runs, and the number of its special strings."""
+
+    text: str
+    words: list[str]
+    runs: list[str]
+    specials: int
+
+
+def _parts(c: WordCounter, text: str) -> _Held:
+    if text.isascii() and "<|" not in text:
+        return _Held(text, c.words.findall(text.lower()), [], 0)
+    runs = _runs(c, text)
+    plain = " ".join(r for r in runs if r is not None and r.isascii())
+    return _Held(text, c.words.findall(plain.lower()), [r for r in runs if r is not None and not r.isascii()], runs.count(None))
+
+
 def _batches(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
             n_bytes, n_tokens, fit = [], [], []
-            held: list[tuple[list[str], int]] = []
+            held: list[_Held] = []
             size = 0
 
             def flush() -> None:
-                c.learn({w for words, _ in held for w in words})
-                for words, specials in held:
-                    upto = np.cumsum(np.array(c.count(words), np.int64))
-                    n_tokens.append(int(upto[-1] if len(upto) else 0) + specials)
-                    fit.append(int(np.searchsorted(upto, limit, "right")))
+                c.learn_runs({r for h in held for r in h.runs})
+                c.learn({w for h in held for w in h.words})
+                known, of_run = c.known, c.runs
+                for h in held:
+                    n_tokens.append(sum(map(known.__getitem__, h.words)) + sum(sum(of_run[r]) for r in h.runs) + h.specials)
+                    whole = len(h.words) + sum(len(of_run[r]) for r in h.runs)
+                    fit.append(whole if n_tokens[-1] <= limit else -1)
+                for k, h in enumerate(held, len(fit) - len(held)):
+                    if fit[k] < 0:
+                        fit[k] = _fit(c, h.text, limit)
                 held.clear()
 
             for value in batch.column(1):
                 text = value.as_py() or ""
                 n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
-                held.append(c.pretokens(text))
+                held.append(_parts(c, text))
                 size += len(text)
                 if size >= _CHARS_AT_ONCE:
                     flush()
@@ -188,8 +292,8 @@ def _batches(path: str, limit: int):
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit, fit_words)``, one row per row of ``docs``.
 
-    ``fit_words``: pretokens of the longest prefix within the limit (special strings
-    not counted).  A null text counts as empty; ids pass through, null ones too.
+    ``fit_words``: pretokens of the longest prefix within the limit; a special string
+    takes one token of it and is no pretoken itself.  A null text counts as empty; ids pass through, null ones too.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small_batches(docs.sparkSession)

@@ -25,7 +25,7 @@ def test_counts_equal_the_library(spark):
     assert tokencount.token_counts(df.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["It's a thesre'll naïve 'rex!!'s 12 <|endoftext|> ab", "supercalifragilistic", "x" * 120])
+@pytest.mark.parametrize("text", ["It's a thesre'll naïve 'rex!!'s 12 <|endoftext|> ab", "supercalifragilistic", "x" * 120, "wow!!<|endoftext|><|startoftext|>'re Éa"])
 def test_every_prefix_equals_the_library(text):
     from tokenizers import Tokenizer
 
@@ -75,3 +75,26 @@ def test_lattice_equals_merging_by_definition():
         w = tuple(ord(c) for c in rng.choices("abeinrst▁é", k=rng.randint(1, 90)))
         ids, n = lat.paths(np.array(w), np.array([len(w)]))
         assert ids.tolist() == lat.merge(w) and n[0] == len(ids)
+
+
+def test_random_unicode_counts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    lib, c = Tokenizer.from_file(path), tokencount.counter(path)
+    rng = random.Random(21)
+    ranges = [(32, 127)] * 3 + [(0, 0x250), (0x2B0, 0x370), (0x370, 0x600), (0x600, 0x1100), (0x1100, 0x1200), (0x1E00, 0x2100), (0x2000, 0x2100), (0xA640, 0xA840), (0xFB00, 0xFFFE), (0x1D400, 0x1D800), (0x1F300, 0x1FB00)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(ranges))) if rng.random() < 0.8 else rng.choice(" \n\t'") for _ in range(rng.randint(1, 24))) for _ in range(20000)]
+    texts = [t for t in texts if not any(0xD800 <= ord(x) < 0xE000 for x in t)] + [chr(0xA7CB) + "a", chr(0xA7DC) + "b", "⁌ ⃾⃒‒⁼※⃆‎₝"]
+    runs = [tokencount._runs(c, t) for t in texts]
+    c.learn_runs({r for row in runs for r in row if r is not None})
+    for t, row in zip(texts, runs):
+        assert sum(1 if r is None else sum(c.runs[r]) for r in row) == len(lib.encode(t, add_special_tokens=False).ids), t
+
+
+def test_special_strings_take_their_token_of_the_limit(spark):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(1, "<|endoftext|>" * 10 + "a b c"), (2, "a b <|endoftext|> c d"), (3, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.fit_words, r.over_limit) for r in tokencount.token_counts(df, path, limit=4).collect()}
+    assert got == {1: (13, 0, True), 2: (5, 3, True), 3: (3, 3, False)}
