@@ -48,16 +48,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(pid, cls, x, y)`` with coordinates on a tenth of a unit."""
+    """``(pid, cls, sheet, x, y)`` with coordinates on a tenth of a unit, on three sheets."""
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").alias("cls"), *((F.floor(e[k].cast("double") * 1000) / 10.0).alias(c) for k, c in ((0, "x"), (1, "y"))))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").alias("cls"), (F.col("vec_id") % 3).alias("sheet"), *((F.floor(e[k].cast("double") * 1000) / 10.0).alias(c) for k, c in ((0, "x"), (1, "y"))))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, layer, color, kind, ax, ay, ex, ey, x0, y0, x1, y1)``: drawn segments and their boxes."""
+    """``(id, layer, sheet, color, kind, ax, ay, ex, ey, x0, y0, x1, y1)``: drawn segments and their boxes, on three sheets."""
     e = F.col("embedding")
     at = [(F.floor(e[k].cast("double") * 1000) / 10.0).alias(c) for k, c in enumerate(("ax", "ay", "ex", "ey"))]
-    s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("layer"), F.when(F.col("vec_id") % 3 == 0, "#FF0000").otherwise("#000000").alias("color"), F.when(F.col("vec_id") % 4 == 0, "polyline").otherwise("line").alias("kind"), *at)
+    s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("layer"), (F.col("vec_id") % 3).alias("sheet"), F.when(F.col("vec_id") % 3 == 0, "#FF0000").otherwise("#000000").alias("color"), F.when(F.col("vec_id") % 4 == 0, "polyline").otherwise("line").alias("kind"), *at)
     return s.select("*", F.least("ax", "ex").alias("x0"), F.least("ay", "ey").alias("y0"), F.greatest("ax", "ex").alias("x1"), F.greatest("ay", "ey").alias("y1"))
 
 
@@ -96,10 +96,10 @@ line AS (
     FROM raw_line WHERE trim(raw) <> ''
     UNION ALL SELECT doc_key, page, -1, header_text, 10::DOUBLE, 20::DOUBLE FROM page WHERE header_text IS NOT NULL))""",
     "point": """point AS (
-  SELECT vec_id AS pid, label AS cls, floor(embedding[1]::DOUBLE * 1000) / 10::DOUBLE AS x, floor(embedding[2]::DOUBLE * 1000) / 10::DOUBLE AS y
+  SELECT vec_id AS pid, label AS cls, vec_id % 3 AS sheet, floor(embedding[1]::DOUBLE * 1000) / 10::DOUBLE AS x, floor(embedding[2]::DOUBLE * 1000) / 10::DOUBLE AS y
   FROM embeddings)""",
     "segment": """bare_segment AS (
-  SELECT vec_id AS id, 'L' || label AS layer, CASE WHEN vec_id % 3 = 0 THEN '#FF0000' ELSE '#000000' END AS color,
+  SELECT vec_id AS id, 'L' || label AS layer, vec_id % 3 AS sheet, CASE WHEN vec_id % 3 = 0 THEN '#FF0000' ELSE '#000000' END AS color,
          CASE WHEN vec_id % 4 = 0 THEN 'polyline' ELSE 'line' END AS kind,
          floor(embedding[1]::DOUBLE * 1000) / 10::DOUBLE AS ax, floor(embedding[2]::DOUBLE * 1000) / 10::DOUBLE AS ay,
          floor(embedding[3]::DOUBLE * 1000) / 10::DOUBLE AS ex, floor(embedding[4]::DOUBLE * 1000) / 10::DOUBLE AS ey FROM embeddings),

@@ -130,5 +130,5 @@ def combine_uncertainty(*parts: Column) -> Column:
 
 def scaled(q: Column, factor: Column, units: Column, confidence: Column, rel: Column) -> Column:
     """The one way a quantity changes its unit system; a zero factor is an error."""
-    ok = F.when(factor == 0, F.raise_error(F.lit("a scale of zero converts nothing"))).otherwise(factor)
+    ok = F.when(factor == 0, F.raise_error(F.lit("a non-zero scale is needed"))).otherwise(factor)
     return quantity(q["value"] * ok.cast("double"), units, combine_confidence(q["confidence"], confidence), combine_uncertainty(q["rel_uncertainty"], rel))

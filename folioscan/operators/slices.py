@@ -55,11 +55,11 @@ def lookup(entities: DataFrame, ids: list) -> DataFrame:
     return entities.join(F.broadcast(want), "id").orderBy("place")
 
 
-def ends(segments: DataFrame) -> DataFrame:
-    """Both ends of every segment: ``id, which, rx, ry`` and the other end ``ox, oy``."""
+def ends(segments: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Both ends of every segment: ``keys, id, which, rx, ry`` and the other end ``ox, oy``."""
     a = F.struct(F.lit(0).alias("which"), F.col("ax").alias("rx"), F.col("ay").alias("ry"), F.col("ex").alias("ox"), F.col("ey").alias("oy"))
     b = F.struct(F.lit(1).alias("which"), F.col("ex").alias("rx"), F.col("ey").alias("ry"), F.col("ax").alias("ox"), F.col("ay").alias("oy"))
-    return segments.select("id", F.inline(F.array(a, b)))
+    return segments.select(*keys, "id", F.inline(F.array(a, b)))
 
 
 def nearest_to(segments: DataFrame, x: float, y: float, k: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.operators.spatial_joins import points_within
+from folioscan.storage import materialize
 
 
 def nearest_neighbour(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
@@ -115,13 +116,26 @@ def spacing_candidates(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_coincident(points: DataFrame, keys: list[str], tol: float) -> DataFrame:
-    """One point for each cell of a grid of ``tol`` (A13): the least id's place, and how many merged.
+    """One point for each chain of points within ``tol`` of each other (A13): the least id's place, and how many merged.
 
-    Cells differ from order-dependent clustering only for points within ``tol`` of a cell border.
+    Chains are the connected components of the pairs within reach, found by rounds of least
+    ids with pointer jumping.  Ids are unique.
     """
-    cx, cy = F.floor(F.col("x") / tol).alias("cx"), F.floor(F.col("y") / tol).alias("cy")
-    got = points.groupBy(*keys, cx, cy).agg(F.min("pid").alias("pid"), F.min_by(F.struct("x", "y"), "pid").alias("p"), F.count("*").alias("merged"))
-    return got.select(*keys, "pid", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "merged")
+    a = points.select(*keys, F.col("pid").alias("a"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    b = points.select(*keys, F.col("pid").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    links = materialize(points_within(a, b, tol, keys).where("a <> b").select("a", "b"), "merge")
+    label = materialize(points.select(F.col("pid").alias("a"), F.col("pid").alias("root")), "merge")
+    while True:
+        seen = links.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        nxt = materialize(label.join(seen, "a", "left").select("a", F.col("root").alias("old"), F.least("root", "near").alias("root")), "merge")
+        up = nxt.select(F.col("a").alias("k"), F.col("root").alias("up"))
+        label = materialize(nxt.join(up, F.col("root") == F.col("k")).select("a", "old", F.col("up").alias("root")), "merge")
+        if label.where("old <> root").isEmpty():
+            break
+        label = label.drop("old")
+    p = F.struct("x", "y")
+    got = points.join(label.select("a", "root"), F.col("pid") == F.col("a")).groupBy(*keys, "root").agg(F.min_by(p, "pid").alias("p"), F.count("*").alias("merged"))
+    return got.select(*keys, F.col("root").alias("pid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), "merged")
 
 
 def similarity_fit(controls: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,27 +172,28 @@ def to_ground(points: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     return p.withColumn("easting", F.when(ok, e)).withColumn("northing", F.when(ok, h)).drop("re", "im", "b_re", "b_im", "mirrored")
 
 
-def check_points(points: DataFrame, symbols: DataFrame, tol: float) -> DataFrame:
-    """``pid, same_point, on_symbol, flag`` (J16): points too near each other, and points on no symbol."""
-    a = points.select(F.col("pid").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    near = points_within(a, points.select(F.col("pid").alias("r"), F.col("x").alias("rx"), F.col("y").alias("ry")), tol).where("l <> r")
-    twin = near.groupBy("l").agg(F.min("r").alias("same_point"))
-    on = points_within(a, symbols.select(F.col("sid"), F.col("x").alias("rx"), F.col("y").alias("ry")), tol)
-    on = on.groupBy("l").agg(F.min_by("sid", F.struct("dist", "sid")).alias("on_symbol"))
-    out = points.select("pid").join(twin, F.col("pid") == F.col("l"), "left").drop("l").join(on, F.col("pid") == F.col("l"), "left").drop("l")
+def check_points(points: DataFrame, symbols: DataFrame, tol: float, keys: list[str] = ()) -> DataFrame:
+    """``keys, pid, same_point, on_symbol, flag`` (J16): points too near each other, and points on no symbol."""
+    a = points.select(*keys, F.col("pid").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    near = points_within(a, points.select(*keys, F.col("pid").alias("r"), F.col("x").alias("rx"), F.col("y").alias("ry")), tol, keys).where("l <> r")
+    twin = near.groupBy(*keys, F.col("l").alias("pid")).agg(F.min("r").alias("same_point"))
+    on = points_within(a, symbols.select(*keys, F.col("sid"), F.col("x").alias("rx"), F.col("y").alias("ry")), tol, keys)
+    on = on.groupBy(*keys, F.col("l").alias("pid")).agg(F.min_by("sid", F.struct("dist", "sid")).alias("on_symbol"))
+    out = points.select(*keys, "pid").join(twin, [*keys, "pid"], "left").join(on, [*keys, "pid"], "left")
     flag = F.when(F.col("same_point").isNotNull(), "same point").when(F.col("on_symbol").isNull(), "not on a symbol").otherwise("ok")
     return out.withColumn("flag", flag)
 
 
-def offset_votes(anchors: DataFrame, ends: DataFrame, reach: float, bin_pt: float = 2.0) -> DataFrame:
-    """The modal translation between anchors and endpoints (J24, A24): bin, votes, and whether it is significant."""
-    near = points_within(anchors, ends, reach)
+def offset_votes(anchors: DataFrame, ends: DataFrame, reach: float, bin_pt: float = 2.0, keys: list[str] = ()) -> DataFrame:
+    """The modal translation between anchors and endpoints of each page (J24, A24): ``keys``, bin, votes, and whether it is significant."""
+    near = points_within(anchors, ends, reach, keys)
     # an anchor votes once for a bin, however many ends lie there
     to_bin = lambda a, b: F.bround((F.col(b) - F.col(a)) / bin_pt).cast("long")
-    pairs = near.select("lx", "ly", to_bin("lx", "rx").alias("bx"), to_bin("ly", "ry").alias("by")).distinct()
-    bins = pairs.groupBy("bx", "by").agg(F.count("*").alias("votes"))
-    total = bins.agg(F.sum("votes").alias("total"), F.count("*").alias("n_bins"))
-    top = bins.orderBy(F.desc("votes"), "bx", "by").limit(1).join(F.broadcast(total))
+    pairs = near.select(*keys, "lx", "ly", to_bin("lx", "rx").alias("bx"), to_bin("ly", "ry").alias("by")).distinct()
+    bins = pairs.groupBy(*keys, "bx", "by").agg(F.count("*").alias("votes"))
+    first = F.max_by(F.struct("bx", "by", "votes"), F.struct("votes", (-F.col("bx")).alias("x"), (-F.col("by")).alias("y"))).alias("m")
+    top = bins.groupBy(*keys).agg(first, F.sum("votes").alias("total"), F.count("*").alias("n_bins")).where("n_bins > 0")
+    top = top.select(*keys, "m.*", "total", "n_bins")
     mean = F.col("total") / F.col("n_bins")
     # Chernoff bound of a Poisson count, over all bins
     bound = F.log("n_bins") + F.col("votes") - mean - F.col("votes") * F.log(F.col("votes") / mean)

@@ -35,6 +35,25 @@ def points_within(left: DataFrame, right: DataFrame, radius: float, keys: list[s
     return both.withColumn("dist", G.distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))).where(F.col("dist") <= radius)
 
 
+def points_in_rings(left: DataFrame, right: DataFrame, radius: Column, keys: list[str] = ()) -> DataFrame:
+    """Pairs within a radius of the left point's own, with ``dist``.
+
+    Left points are dealt by the power of two above their radius; each such level has
+    cells of its size, and right points say for each level that occurs which cell they
+    are in.  A left point reaches nine cells, whatever its radius.
+    """
+    level = F.greatest(F.ceil(F.log2(F.greatest(radius, F.lit(1e-9)))), F.lit(-20)).cast("int")
+    a = left.withColumn("__radius", radius).withColumn("__level", level).withColumn("__size", F.pow(F.lit(2.0), F.col("__level")))
+    levels = a.select("__level").distinct()  # at most some dozens, by construction
+    step = lambda v, d: F.floor(F.col(v) / F.col("__size")).cast("long") + d
+    near = F.sequence(F.lit(-1), F.lit(1))
+    a = a.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near)).withColumn("__cx", step("lx", F.col("__dx"))).withColumn("__cy", step("ly", F.col("__dy"))).drop("__dx", "__dy", "__size")
+    b = right.crossJoin(F.broadcast(levels)).withColumn("__size", F.pow(F.lit(2.0), F.col("__level"))).withColumn("__cx", step("rx", F.lit(0))).withColumn("__cy", step("ry", F.lit(0))).drop("__size")
+    both = a.join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
+    both = both.withColumn("dist", G.distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
+    return both.where(F.col("dist") <= F.col("__radius")).drop("__radius")
+
+
 def boxes_meeting(left: DataFrame, right: DataFrame, size: float, keys: list[str] = (), test: str = "intersect") -> DataFrame:
     """Pairs of left boxes (``l`` columns) and right boxes (``r`` columns) that intersect, or where left contains right.
 

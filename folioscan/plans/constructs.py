@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.operators import slices as S
-from folioscan.operators.spatial_joins import boxes_meeting, cell, greedy_pairs, points_within
+from folioscan.operators.spatial_joins import boxes_meeting, cell, greedy_pairs, points_in_rings, points_within
 
 CONTRADICTED, UNCORROBORATED = 0.25, 0.45
 
@@ -20,67 +20,77 @@ def _clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def leaders(arrows: DataFrame, shafts: DataFrame, texts: DataFrame, reach: float, text_reach: float, min_confidence: float = 0.0) -> DataFrame:
+def _with_text(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``has_text``: whether their page has any text."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(texts.agg((F.count("*") > 0).alias("has_text"))))
+    worded = texts.select(*keys).distinct().withColumn("has_text", F.lit(True))
+    return rows.join(worded, list(keys), "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+
+
+def leaders(arrows: DataFrame, shafts: DataFrame, texts: DataFrame, reach: float, text_reach: float, min_confidence: float = 0.0, keys: list[str] = ()) -> DataFrame:
     """Leaders: an arrowhead at one end of a shaft, text near the other.
 
+    All sides and the result bear ``keys`` (a document and a page), and nothing meets across them.
     ``arrows``: ``(arrow_id, x, y, dx, dy, scale)`` with the unit vector that the head points
     along; ``shafts``: ``(id, ax, ay, ex, ey)``; ``texts``: ``(text_id, x, y, text)``.
     Returns ``arrow_id, shaft_id, tip_x, tip_y, text_id, confidence, direction``; the tip is the
     shaft's end.  The score is .45 alignment, .35 nearness of text and .20 simplicity,
     without text renormalised; a head that points backwards is capped.
     """
-    a = arrows.select("arrow_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "dx", "dy", "scale")
-    ends = S.ends(shafts).withColumnRenamed("id", "shaft_id")
+    a = arrows.select(*keys, "arrow_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "dx", "dy", "scale")
+    ends = S.ends(shafts, keys).withColumnRenamed("id", "shaft_id")
     length = G.distance(F.col("rx"), F.col("ry"), F.col("ox"), F.col("oy"))
-    pairs = points_within(a, ends, reach).withColumn("length", length).where(F.col("length") >= 2 * F.col("scale"))
+    pairs = points_within(a, ends, reach, keys).withColumn("length", length).where(F.col("length") >= 2 * F.col("scale"))
     # the shaft runs from tail to tip; a sound head points the same way
     align = F.try_divide((F.col("rx") - F.col("ox")) * F.col("dx") + (F.col("ry") - F.col("oy")) * F.col("dy"), "length")
-    best = pairs.withColumn("align", align).groupBy("arrow_id").agg(F.max_by(F.struct("shaft_id", "rx", "ry", "ox", "oy", "align", "dist"), F.struct(F.abs("align").alias("a"), (-F.col("dist")).alias("d"), (-F.col("shaft_id")).alias("i"))).alias("b")).select("arrow_id", "b.*")
-    tails = best.select("arrow_id", F.col("ox").alias("lx"), F.col("oy").alias("ly"))
-    near = points_within(tails, texts.select("text_id", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach).groupBy("arrow_id").agg(F.min(F.struct("dist", "text_id")).alias("t"))
-    any_text = texts.agg((F.count("*") > 0).alias("has_text"))
-    out = best.join(near, "arrow_id", "left").crossJoin(F.broadcast(any_text))
+    best = pairs.withColumn("align", align).groupBy(*keys, "arrow_id").agg(F.max_by(F.struct("shaft_id", "rx", "ry", "ox", "oy", "align", "dist"), F.struct(F.abs("align").alias("a"), (-F.col("dist")).alias("d"), (-F.col("shaft_id")).alias("i"))).alias("b")).select(*keys, "arrow_id", "b.*")
+    tails = best.select(*keys, "arrow_id", F.col("ox").alias("lx"), F.col("oy").alias("ly"))
+    near = points_within(tails, texts.select(*keys, "text_id", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach, keys).groupBy(*keys, "arrow_id").agg(F.min(F.struct("dist", "text_id")).alias("t"))
+    out = _with_text(best.join(near, [*keys, "arrow_id"], "left"), texts, keys)
     worded = F.when(F.col("t").isNotNull(), 1 - F.col("t.dist") / text_reach).otherwise(0.0)
     aligned, simple = F.abs("align"), 1 - F.col("dist") / reach
     score = F.when(F.col("has_text"), 0.45 * aligned + 0.35 * worded + 0.20 * simple).otherwise((0.45 * aligned + 0.20 * simple) / 0.65)
     backward = F.col("align") < 0
     out = out.withColumn("confidence", _clamp(F.when(backward, F.least(score, F.lit(UNCORROBORATED))).otherwise(score)))
-    return out.where(F.col("confidence") >= min_confidence).select("arrow_id", "shaft_id", F.col("rx").alias("tip_x"), F.col("ry").alias("tip_y"), F.col("t.text_id").alias("text_id"), "confidence", F.when(backward, "backward").otherwise("forward").alias("direction"))
+    return out.where(F.col("confidence") >= min_confidence).select(*keys, "arrow_id", "shaft_id", F.col("rx").alias("tip_x"), F.col("ry").alias("tip_y"), F.col("t.text_id").alias("text_id"), "confidence", F.when(backward, "backward").otherwise("forward").alias("direction"))
 
 
-def without_claimed(leaders: DataFrame, claimed: DataFrame) -> DataFrame:
+def without_claimed(leaders: DataFrame, claimed: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Leaders whose arrow no called dimension owns."""
-    return leaders.join(claimed.select("arrow_id").distinct(), "arrow_id", "left_anti")
+    return leaders.join(claimed.select(*keys, "arrow_id").distinct(), [*keys, "arrow_id"], "left_anti")
 
 
-def with_native(composed: DataFrame, native: DataFrame, tol: float) -> DataFrame:
+def with_native(composed: DataFrame, native: DataFrame, tol: float, keys: list[str] = ()) -> DataFrame:
     """Native annotations at confidence 1 and composed ones, those at a native tip capped and named."""
-    c = composed.select(F.col("id"), F.col("tip_x").alias("lx"), F.col("tip_y").alias("ly"), "confidence")
-    n = native.select(F.col("id").alias("native_id"), F.col("tip_x").alias("rx"), F.col("tip_y").alias("ry"))
-    at = points_within(c, n, tol).groupBy("id").agg(F.min_by("native_id", F.struct("dist", "native_id")).alias("superseded_by"))
-    out = c.join(at, "id", "left").withColumn("confidence", F.when(F.col("superseded_by").isNotNull(), F.least("confidence", F.lit(CONTRADICTED))).otherwise(F.col("confidence")))
-    out = out.select("id", F.col("lx").alias("tip_x"), F.col("ly").alias("tip_y"), "confidence", "superseded_by", F.lit("composed").alias("source"))
-    return out.unionByName(native.select("id", "tip_x", "tip_y", F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("superseded_by"), F.lit("native").alias("source")))
+    c = composed.select(*keys, F.col("id"), F.col("tip_x").alias("lx"), F.col("tip_y").alias("ly"), "confidence")
+    n = native.select(*keys, F.col("id").alias("native_id"), F.col("tip_x").alias("rx"), F.col("tip_y").alias("ry"))
+    at = points_within(c, n, tol, keys).groupBy(*keys, "id").agg(F.min_by("native_id", F.struct("dist", "native_id")).alias("superseded_by"))
+    out = c.join(at, [*keys, "id"], "left").withColumn("confidence", F.when(F.col("superseded_by").isNotNull(), F.least("confidence", F.lit(CONTRADICTED))).otherwise(F.col("confidence")))
+    out = out.select(*keys, "id", F.col("lx").alias("tip_x"), F.col("ly").alias("tip_y"), "confidence", "superseded_by", F.lit("composed").alias("source"))
+    return out.unionByName(native.select(*keys, "id", "tip_x", "tip_y", F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("superseded_by"), F.lit("native").alias("source")))
 
 
-def bubbles(circles: DataFrame, texts: DataFrame, segments: DataFrame, max_chars: int = 4, reach: float = 100.0) -> DataFrame:
+def bubbles(circles: DataFrame, texts: DataFrame, segments: DataFrame, max_chars: int = 4, keys: list[str] = ()) -> DataFrame:
     """Bubbles with a short text in them (X4, J7): ``circle_id, text_id, n_attached, kind, confidence``.
 
     The nearest text within .9 of the radius; lines that end within .2 of the ring are
-    attached.  ``circles``: ``(circle_id, x, y, radius, roundness)``.
+    attached.  ``circles``: ``(circle_id, x, y, radius, roundness)``.  All sides bear ``keys``;
+    the typical radius is that of the page.
     """
-    short = texts.where(F.length("text") <= max_chars).select("text_id", "text", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    c = circles.select("circle_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "radius", "roundness").where(F.col("radius") <= reach)
-    inside = points_within(c, short, reach).where(F.col("dist") <= 0.9 * F.col("radius"))
-    best = inside.groupBy("circle_id").agg(F.min(F.struct("dist", "text_id", "text")).alias("t"))
-    ends = points_within(c, S.ends(segments), 1.2 * reach).where(F.abs(F.col("dist") - F.col("radius")) <= 0.2 * F.col("radius"))
-    held = ends.groupBy("circle_id").agg(F.count_distinct("id").alias("n_attached"))
-    size = circles.agg(F.percentile("radius", 0.5).alias("typical"))
-    out = c.join(best, "circle_id").join(held, "circle_id", "left").crossJoin(F.broadcast(size)).withColumn("n_attached", F.coalesce("n_attached", F.lit(0)))
+    short = texts.where(F.length("text") <= max_chars).select(*keys, "text_id", "text", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    c = circles.select(*keys, "circle_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "radius", "roundness")
+    inside = points_in_rings(c, short, F.col("radius"), keys).where(F.col("dist") <= 0.9 * F.col("radius"))
+    best = inside.groupBy(*keys, "circle_id").agg(F.min(F.struct("dist", "text_id", "text")).alias("t"))
+    ends = points_in_rings(c, S.ends(segments, keys), 1.2 * F.col("radius"), keys).where(F.abs(F.col("dist") - F.col("radius")) <= 0.2 * F.col("radius"))
+    held = ends.groupBy(*keys, "circle_id").agg(F.count_distinct("id").alias("n_attached"))
+    size = circles.groupBy(*keys).agg(F.percentile("radius", 0.5).alias("typical"))
+    out = c.join(best, [*keys, "circle_id"]).join(held, [*keys, "circle_id"], "left")
+    out = (out.join(size, list(keys)) if keys else out.crossJoin(F.broadcast(size))).withColumn("n_attached", F.coalesce("n_attached", F.lit(0)))
     centred = 1 - F.coalesce(F.try_divide("t.dist", 0.9 * F.col("radius")), F.lit(0.0))
     sized = F.coalesce(F.try_divide(F.least("radius", "typical"), F.greatest("radius", "typical")), F.lit(1.0))
     kind = F.when(F.col("n_attached") == 0, "keynote").when(F.col("n_attached") == 1, "grid").otherwise("detail")
-    return out.select("circle_id", F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "n_attached", kind.alias("kind"), _clamp(0.35 * F.col("roundness") + 0.45 * centred + 0.20 * sized).alias("confidence"))
+    return out.select(*keys, "circle_id", F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "n_attached", kind.alias("kind"), _clamp(0.35 * F.col("roundness") + 0.45 * centred + 0.20 * sized).alias("confidence"))
 
 
 def title_blocks(rects: DataFrame, texts: DataFrame, keys: list[str], size: float = 200.0, keep: int = 3) -> DataFrame:
@@ -103,18 +113,20 @@ def title_blocks(rects: DataFrame, texts: DataFrame, keys: list[str], size: floa
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "rect_id"))).where(F.col("rank") <= keep).select(*keys, "rect_id", F.coalesce("n_text", F.lit(0)).alias("n_text"), F.coalesce("n_rect", F.lit(0)).alias("n_rect"), "confidence", "rank")
 
 
-def clouds(arcs: DataFrame, min_arcs: int = 3) -> DataFrame:
+def clouds(arcs: DataFrame, min_arcs: int = 3, keys: list[str] = ()) -> DataFrame:
     """Chains of arcs joined end to end within a quarter of the mean radius (X5, A27): ``cloud, n_arcs, x0, y0, x1, y1, confidence``.
 
-    Components by rounds of least labels over the links, doubled by pointer jumping.
+    Components by rounds of least labels over the links, doubled by pointer jumping.  Arc ids
+    are unique over all pages; arcs of different ``keys`` never join.
     """
     from folioscan.storage import materialize
 
-    ends = S.ends(arcs).join(arcs.select("id", "radius"), "id").withColumn("tol", F.col("radius") * 0.25)
-    most = 50.0
-    a = ends.select(F.col("id").alias("a"), F.col("rx").alias("lx"), F.col("ry").alias("ly"), F.col("radius").alias("ra"))
-    b = ends.select(F.col("id").alias("b"), "rx", "ry", F.col("radius").alias("rb"))
-    links = points_within(a, b, most).where((F.col("a") != F.col("b")) & (F.col("dist") <= 0.25 * (F.col("ra") + F.col("rb")) / 2)).select("a", "b").distinct()
+    ends = S.ends(arcs, keys).join(arcs.select("id", "radius"), "id").withColumn("tol", F.col("radius") * 0.25)
+    # two arcs meet within a quarter of their mean radius, so no reach beyond that of the largest is needed
+    most = max(float(arcs.agg(F.max("radius")).first()[0] or 0.0) * 0.25, 1e-6)
+    a = ends.select(*keys, F.col("id").alias("a"), F.col("rx").alias("lx"), F.col("ry").alias("ly"), F.col("radius").alias("ra"))
+    b = ends.select(*keys, F.col("id").alias("b"), "rx", "ry", F.col("radius").alias("rb"))
+    links = points_within(a, b, most, keys).where((F.col("a") != F.col("b")) & (F.col("dist") <= 0.25 * (F.col("ra") + F.col("rb")) / 2)).select("a", "b").distinct()
     links = materialize(links, "clouds")
     label = materialize(arcs.select(F.col("id").alias("a"), F.col("id").alias("root")), "clouds")
     while True:
@@ -125,25 +137,24 @@ def clouds(arcs: DataFrame, min_arcs: int = 3) -> DataFrame:
         if jump.join(label.select("a", F.col("root").alias("old")), "a").where("root <> old").isEmpty():
             break
         label = jump
-    g = arcs.join(label, F.col("id") == F.col("a")).groupBy(F.col("root").alias("cloud")).agg(F.count("*").alias("n_arcs"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    g = arcs.join(label, F.col("id") == F.col("a")).groupBy(*keys, F.col("root").alias("cloud")).agg(F.count("*").alias("n_arcs"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return g.where(F.col("n_arcs") >= min_arcs).withColumn("confidence", F.least(F.lit(0.65), 0.35 + 0.03 * F.col("n_arcs")))
 
 
-def plan_symbols(symbols: DataFrame, labels: DataFrame, widths: float = 3.0, least: float = 20.0) -> DataFrame:
+def plan_symbols(symbols: DataFrame, labels: DataFrame, widths: float = 3.0, least: float = 20.0, keys: list[str] = ()) -> DataFrame:
     """Symbols and labels one to one, closest first (X26, J15), with a confidence from gap and separation.
 
     ``symbols``: ``(symbol, x, y, size)``; the limit is ``widths`` sizes, at least ``least`` points.
     """
-    most = 200.0
-    s = symbols.select("symbol", F.col("x").alias("lx"), F.col("y").alias("ly"), "size", F.greatest(widths * F.col("size"), F.lit(least)).alias("limit"))
-    pairs = points_within(s, labels.select("label", F.col("x").alias("rx"), F.col("y").alias("ry")), most).where(F.col("dist") <= F.col("limit"))
-    pairs = pairs.select("symbol", "label", "dist", "size", "limit")
-    took = greedy_pairs(pairs, [], "symbol", "label")
+    s = symbols.select(*keys, "symbol", F.col("x").alias("lx"), F.col("y").alias("ly"), "size", F.greatest(widths * F.col("size"), F.lit(least)).alias("limit"))
+    pairs = points_in_rings(s, labels.select(*keys, "label", F.col("x").alias("rx"), F.col("y").alias("ry")), F.col("limit"), keys)
+    pairs = pairs.select(*keys, "symbol", "label", "dist", "size", "limit")
+    took = greedy_pairs(pairs, list(keys), "symbol", "label")
     # the best rival is the nearest other label of the symbol
-    other = pairs.alias("p").join(took.select("symbol", F.col("label").alias("mine")), "symbol").where("label <> mine").groupBy("symbol").agg(F.min("dist").alias("alt"))
-    out = took.join(other, "symbol", "left")
+    other = pairs.alias("p").join(took.select(*keys, "symbol", F.col("label").alias("mine")), [*keys, "symbol"]).where("label <> mine").groupBy(*keys, "symbol").agg(F.min("dist").alias("alt"))
+    out = took.join(other, [*keys, "symbol"], "left")
     sep = F.when(F.col("alt").isNull(), 1.0).otherwise(_clamp(F.coalesce(F.try_divide(F.col("alt") - F.col("dist"), F.greatest("size", "dist")), F.lit(1.0))))
-    return out.select("symbol", "label", "dist", ((1 - 0.5 * F.col("dist") / F.col("limit")) * (0.5 + 0.5 * sep)).alias("confidence"), (sep < 0.5).alias("ambiguous"))
+    return out.select(*keys, "symbol", "label", "dist", ((1 - 0.5 * F.col("dist") / F.col("limit")) * (0.5 + 0.5 * sep)).alias("confidence"), (sep < 0.5).alias("ambiguous"))
 
 
 def labels_of_regions(regions: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +184,7 @@ def color_roles(associations: DataFrame) -> DataFrame:
     return associations.where("role is not null").groupBy("color").agg(F.min_by("role", F.struct("distance", "role")).alias("role"), F.min("distance").alias("distance"))
 
 
-def dimensions(arrows: DataFrame, shafts: DataFrame, segments: DataFrame, texts: DataFrame, reach: float, text_reach: float) -> DataFrame:
+def dimensions(arrows: DataFrame, shafts: DataFrame, segments: DataFrame, texts: DataFrame, reach: float, text_reach: float, keys: list[str] = ()) -> DataFrame:
     """Dimensions: a shaft with an outward arrowhead at both ends, witness lines there, a text at its middle.
 
     Returns ``shaft_id, arrow_a, arrow_b, n_witness, text_id, text, length, confidence``.  The
@@ -181,31 +192,31 @@ def dimensions(arrows: DataFrame, shafts: DataFrame, segments: DataFrame, texts:
     (.40 a + .30 w) / .70, held at .45 unless both ends have a witness line.
     ``segments``: ``(id, ax, ay, ex, ey, x0, y0, x1, y1)``.
     """
-    ends = S.ends(shafts).withColumnRenamed("id", "shaft_id").withColumn("length", G.distance(F.col("rx"), F.col("ry"), F.col("ox"), F.col("oy")))
-    heads = arrows.select("arrow_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "dx", "dy", "scale")
-    at = points_within(heads, ends, reach).where(F.col("length") >= 2 * F.col("scale"))
+    ends = S.ends(shafts, keys).withColumnRenamed("id", "shaft_id").withColumn("length", G.distance(F.col("rx"), F.col("ry"), F.col("ox"), F.col("oy")))
+    heads = arrows.select(*keys, "arrow_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "dx", "dy", "scale")
+    at = points_within(heads, ends, reach, keys).where(F.col("length") >= 2 * F.col("scale"))
     outward = F.try_divide((F.col("rx") - F.col("ox")) * F.col("dx") + (F.col("ry") - F.col("oy")) * F.col("dy"), "length")
-    best = at.withColumn("align", outward).groupBy("shaft_id", "which").agg(F.max_by(F.struct("arrow_id", "align"), F.struct("align", (-F.col("dist")).alias("d"), (-F.col("arrow_id")).alias("i"))).alias("b"))
+    best = at.withColumn("align", outward).groupBy(*keys, "shaft_id", "which").agg(F.max_by(F.struct("arrow_id", "align"), F.struct("align", (-F.col("dist")).alias("d"), (-F.col("arrow_id")).alias("i"))).alias("b"))
     best = best.where(F.col("b.align") > 0)
-    side = lambda k, s: best.where(F.col("which") == k).select("shaft_id", F.col("b.arrow_id").alias(f"arrow_{s}"), F.col("b.align").alias(f"align_{s}"))
-    both = side(0, "a").join(side(1, "b"), "shaft_id").where("arrow_a <> arrow_b")
+    side = lambda k, s: best.where(F.col("which") == k).select(*keys, "shaft_id", F.col("b.arrow_id").alias(f"arrow_{s}"), F.col("b.align").alias(f"align_{s}"))
+    both = side(0, "a").join(side(1, "b"), [*keys, "shaft_id"]).where("arrow_a <> arrow_b")
     # witness lines: across the shaft, through or near its end
-    own = ends.join(both.select("shaft_id"), "shaft_id")
-    near = own.select("shaft_id", "which", "rx", "ry", "ox", "oy", (F.col("rx") - reach).alias("lx0"), (F.col("ry") - reach).alias("ly0"), (F.col("rx") + reach).alias("lx1"), (F.col("ry") + reach).alias("ly1"))
-    lines = segments.select("id", "ax", "ay", "ex", "ey", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
-    met = boxes_meeting(near, lines, 10 * reach).where("id <> shaft_id")
+    own = ends.join(both.select(*keys, "shaft_id"), [*keys, "shaft_id"])
+    near = own.select(*keys, "shaft_id", "which", "rx", "ry", "ox", "oy", (F.col("rx") - reach).alias("lx0"), (F.col("ry") - reach).alias("ly0"), (F.col("rx") + reach).alias("lx1"), (F.col("ry") + reach).alias("ly1"))
+    lines = segments.select(*keys, "id", "ax", "ay", "ex", "ey", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
+    met = boxes_meeting(near, lines, 10 * reach, keys).where("id <> shaft_id")
     turn = F.abs(G.direction(*map(F.col, ("ax", "ay", "ex", "ey"))) - G.direction(*map(F.col, ("ox", "oy", "rx", "ry"))))
     square = F.abs(turn - 90) <= 20
     touch = G.point_segment(F.col("rx"), F.col("ry"), *map(F.col, ("ax", "ay", "ex", "ey"))) <= reach
-    witness = met.where(square & touch).groupBy("shaft_id").agg(F.count_distinct("which").alias("n_witness"))
-    middle = ends.where("which = 0").select("shaft_id", ((F.col("rx") + F.col("ox")) / 2).alias("lx"), ((F.col("ry") + F.col("oy")) / 2).alias("ly"), "length")
-    said = points_within(middle, texts.select("text_id", "text", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach).groupBy("shaft_id").agg(F.min(F.struct("dist", "text_id", "text")).alias("t"))
-    any_text = texts.agg((F.count("*") > 0).alias("has_text"))
-    out = both.join(middle.select("shaft_id", "length"), "shaft_id").join(witness, "shaft_id", "left").join(said, "shaft_id", "left").crossJoin(F.broadcast(any_text))
+    witness = met.where(square & touch).groupBy(*keys, "shaft_id").agg(F.count_distinct("which").alias("n_witness"))
+    middle = ends.where("which = 0").select(*keys, "shaft_id", ((F.col("rx") + F.col("ox")) / 2).alias("lx"), ((F.col("ry") + F.col("oy")) / 2).alias("ly"), "length")
+    said = points_within(middle, texts.select(*keys, "text_id", "text", F.col("x").alias("rx"), F.col("y").alias("ry")), text_reach, keys).groupBy(*keys, "shaft_id").agg(F.min(F.struct("dist", "text_id", "text")).alias("t"))
+    by = [*keys, "shaft_id"]
+    out = _with_text(both.join(middle.select(*by, "length"), by).join(witness, by, "left").join(said, by, "left"), texts, keys)
     n = F.coalesce("n_witness", F.lit(0))
     a, w = (F.col("align_a") + F.col("align_b")) / 2, n / 2
     t = F.when(F.col("t").isNotNull(), 1 - F.col("t.dist") / text_reach).otherwise(0.0)
     bare = (0.40 * a + 0.30 * w) / 0.70
     bare = F.when(n < 2, F.least(bare, F.lit(UNCORROBORATED))).otherwise(bare)
     score = F.when(F.col("has_text"), 0.40 * a + 0.30 * t + 0.30 * w).otherwise(bare)
-    return out.select("shaft_id", "arrow_a", "arrow_b", n.alias("n_witness"), F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "length", _clamp(score).alias("confidence"))
+    return out.select(*keys, "shaft_id", "arrow_a", "arrow_b", n.alias("n_witness"), F.col("t.text_id").alias("text_id"), F.col("t.text").alias("text"), "length", _clamp(score).alias("confidence"))

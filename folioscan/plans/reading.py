@@ -64,11 +64,11 @@ def repeated_hits(hits: DataFrame, pages: DataFrame, cell: float = 10.0, share:
     return out.withColumn("repeats", F.col("on_sheets") >= F.greatest(F.lit(float(least)), share * F.col("n_same"))).select(*hits.columns, "on_sheets", "repeats")
 
 
-def near_text(entities: DataFrame, texts: DataFrame, radius: float) -> DataFrame:
-    """``id, near``: the closest text of every entity within a radius."""
-    e = entities.select("id", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    hit = points_within(e, texts.select("text", F.col("x").alias("rx"), F.col("y").alias("ry")), radius)
-    return hit.groupBy("id").agg(F.min_by("text", F.struct("dist", "text")).alias("near"))
+def near_text(entities: DataFrame, texts: DataFrame, radius: float, keys: list[str] = ()) -> DataFrame:
+    """``keys, id, near``: the closest text of every entity within a radius."""
+    e = entities.select(*keys, "id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    hit = points_within(e, texts.select(*keys, "text", F.col("x").alias("rx"), F.col("y").alias("ry")), radius, keys)
+    return hit.groupBy(*keys, "id").agg(F.min_by("text", F.struct("dist", "text")).alias("near"))
 
 
 def rendered(lines: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def w10_log_decades(spark, sf_dir):
 @query(PNT + " SELECT pid, round(1000 + 2 * x - 0.5::DOUBLE * y, 6) AS easting, round(500 + 0.5::DOUBLE * x + 2 * y, 6) AS northing FROM point")
 def g16_x27_j33_plan_grid(spark, sf_dir):
     p = derive.points(spark, sf_dir)
-    controls = p.where("pid % 5 = 0").select(F.lit("set").alias("s"), F.col("x").alias("px"), (-F.col("y")).alias("py"), (1000 + 2 * F.col("x") - 0.5 * F.col("y")).alias("easting"), (500 + 0.5 * F.col("x") + 2 * F.col("y")).alias("northing"))
+    controls = p.select(F.lit("set").alias("s"), F.col("x").alias("px"), (-F.col("y")).alias("py"), (1000 + 2 * F.col("x") - 0.5 * F.col("y")).alias("easting"), (500 + 0.5 * F.col("x") + 2 * F.col("y")).alias("northing"))
     fits = A.similarity_fit(controls, ["s"])
     at = A.to_ground(p.select(F.lit("set").alias("s"), "pid", F.col("x").alias("px"), (-F.col("y")).alias("py")), fits, ["s"])
     return at.select("pid", F.round("easting", 6).alias("easting"), F.round("northing", 6).alias("northing"))

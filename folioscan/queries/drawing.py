@@ -37,11 +37,11 @@ def p3_near_horizontal(spark, sf_dir):
     return S.by_angle(derive.segments(spark, sf_dir), 170, 10).select("id", F.round("angle", 6).alias("angle"))
 
 
-@query(SEG + " SELECT id, sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) + sqrt((ax+10-ex)*(ax+10-ex)+(ay-ey)*(ay-ey)) AS length FROM segment WHERE sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) + sqrt((ax+10-ex)*(ax+10-ex)+(ay-ey)*(ay-ey)) >= 400")
+@query(SEG + " SELECT id, sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) + sqrt((ax+10-ex)*(ax+10-ex)+(ay-ey)*(ay-ey)) AS length FROM segment WHERE sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) + sqrt((ax+10-ex)*(ax+10-ex)+(ay-ey)*(ay-ey)) >= 250")
 def p4_long_polylines(spark, sf_dir):
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     s = derive.segments(spark, sf_dir).withColumn("vertices", F.array(pt(F.col("ax"), F.col("ay")), pt(F.col("ex"), F.col("ey")), pt(F.col("ax") + 10, F.col("ay"))))
-    return S.longer_than(s.withColumn("closed", F.lit(False)), 400).select("id", "length")
+    return S.longer_than(s.withColumn("closed", F.lit(False)), 250).select("id", "length")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)tion[a-z]+ the')")
@@ -204,9 +204,15 @@ def a14_hulls(spark, sf_dir):
     return A.hulls(derive.points(spark, sf_dir), ["cls"])
 
 
-@query(PNT + " SELECT cls, min(pid) AS pid, arg_min(x, pid) AS x, arg_min(y, pid) AS y, count(*) AS merged FROM point GROUP BY cls, floor(x / 25::DOUBLE), floor(y / 25::DOUBLE)")
+@query(
+    PNT.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, l AS (SELECT a.pid AS a, b.pid AS b FROM point a JOIN point b ON a.cls = b.cls AND a.pid <> b.pid AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 12),
+reach(a, b) AS (SELECT pid, pid FROM point UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a), root AS (SELECT a AS pid, min(b) AS root FROM reach GROUP BY a),
+g AS (SELECT cls, root, count(*) AS merged FROM point JOIN root USING (pid) GROUP BY ALL)
+SELECT g.cls, root AS pid, p.x, p.y, merged FROM g JOIN point p ON p.pid = root"""
+)
 def a13_merge_coincident(spark, sf_dir):
-    return A.merge_coincident(derive.points(spark, sf_dir), ["cls"], 25.0)
+    return A.merge_coincident(derive.points(spark, sf_dir), ["cls"], 12.0)
 
 
 
@@ -220,24 +226,24 @@ def a22_similarity_fit(spark, sf_dir):
 
 @query(
     PNT
-    + """, s AS (SELECT pid AS sid, x + 1 AS x, y FROM point WHERE pid % 2 = 0),
-tw AS (SELECT a.pid, min(b.pid) AS same_point FROM point a JOIN point b ON a.pid <> b.pid AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2 GROUP BY a.pid),
-o AS (SELECT a.pid, arg_min(sid, (sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)), sid)) AS on_symbol FROM point a JOIN s ON sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)) <= 2 GROUP BY a.pid)
-SELECT p.pid, same_point, on_symbol, CASE WHEN same_point IS NOT NULL THEN 'same point' WHEN on_symbol IS NULL THEN 'not on a symbol' ELSE 'ok' END AS flag
+    + """, s AS (SELECT pid AS sid, sheet, x + 1 AS x, y FROM point),
+tw AS (SELECT a.pid, min(b.pid) AS same_point FROM point a JOIN point b ON a.pid <> b.pid AND a.sheet = b.sheet AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2 GROUP BY a.pid),
+o AS (SELECT a.pid, arg_min(sid, (sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)), sid)) AS on_symbol FROM point a JOIN s ON a.sheet = s.sheet AND sqrt((a.x-s.x)*(a.x-s.x)+(a.y-s.y)*(a.y-s.y)) <= 2 GROUP BY a.pid)
+SELECT p.sheet, p.pid, same_point, on_symbol, CASE WHEN same_point IS NOT NULL THEN 'same point' WHEN on_symbol IS NULL THEN 'not on a symbol' ELSE 'ok' END AS flag
 FROM point p LEFT JOIN tw USING (pid) LEFT JOIN o USING (pid)"""
 )
 def j16_plan_point_check(spark, sf_dir):
     p = derive.points(spark, sf_dir)
-    return A.check_points(p, p.where("pid % 2 = 0").select(F.col("pid").alias("sid"), (F.col("x") + 1).alias("x"), "y"), 2.0)
+    return A.check_points(p, p.select("sheet", F.col("pid").alias("sid"), (F.col("x") + 1).alias("x"), "y"), 2.0, ["sheet"])
 
 
 @query()
 def j15_symbol_labels(spark, sf_dir):
     p = derive.points(spark, sf_dir)
-    left = p.where("pid % 2 = 0").select(F.col("pid").alias("symbol"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    right = p.where("pid % 2 = 1").select(F.col("pid").alias("label"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = J.points_within(left, right, 30.0).select("symbol", "label", "dist")
-    return J.greedy_pairs(pairs, [], "symbol", "label")
+    left = p.where("pid % 2 = 0").select("sheet", F.col("pid").alias("symbol"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    right = p.where("pid % 2 = 1").select("sheet", F.col("pid").alias("label"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    pairs = J.points_within(left, right, 30.0, ["sheet"]).select("sheet", "symbol", "label", "dist")
+    return J.greedy_pairs(pairs, ["sheet"], "symbol", "label")
 
 
 @query(SEG + " SELECT layer, id, sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) AS length, row_number() OVER (PARTITION BY layer ORDER BY sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) DESC, id)::INT AS rank FROM segment QUALIFY rank <= 3")

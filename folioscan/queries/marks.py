@@ -32,7 +32,7 @@ def j13_aimed_at(spark, sf_dir):
     return M.aimed_at(derive.markups(spark, sf_dir))
 
 
-_DUP = "(SELECT doc_key, page, xref, NULL::BIGINT AS irt_xref, kind, text[1:1] AS text, x0, y0, x1, y1 FROM markup)"
+_DUP = "(SELECT doc_key, page, xref, NULL::BIGINT AS irt_xref, kind, text, x0, y0, x1, y1 FROM markup)"
 
 
 @query(
@@ -44,18 +44,18 @@ SELECT a.doc_key, a.page, a.xref, min(b.xref) AS duplicate_of FROM w a JOIN w b
 )
 def k2_duplicate_marks(spark, sf_dir):
     m = derive.markups(spark, sf_dir)
-    return M.duplicate_marks(m.withColumn("irt_xref", F.lit(None).cast("long")).withColumn("text", F.substring("text", 1, 1)))
+    return M.duplicate_marks(m.withColumn("irt_xref", F.lit(None).cast("long")))
 
 
 @query(
     MARK
-    + """, c AS (SELECT doc_key, page, xref AS id, text[1:2] AS text, x0, y0, x1, y1 FROM markup WHERE turn > 0), l AS (SELECT doc_key, page, text[1:2] AS text, x0 + 5 AS x0, y0, x1 + 5 AS x1, y1 FROM markup WHERE turn % 2 = 1)
+    + """, c AS (SELECT doc_key, page, xref AS id, text, x0, y0, x1, y1 FROM markup WHERE turn > 0), l AS (SELECT doc_key, page, text, x0 + 5 AS x0, y0, x1 + 5 AS x1, y1 FROM markup WHERE turn % 2 = 1)
 SELECT doc_key, page, id FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_key = c.doc_key AND l.page = c.page AND lower(regexp_replace(l.text, '\\s+', '', 'g')) = lower(regexp_replace(c.text, '\\s+', '', 'g'))
  AND least(l.x1,c.x1) > greatest(l.x0,c.x0) AND least(l.y1,c.y1) > greatest(l.y0,c.y0)
  AND (least(l.x1,c.x1)-greatest(l.x0,c.x0))*(least(l.y1,c.y1)-greatest(l.y0,c.y0)) >= 0.3 * ((l.x1-l.x0)*(l.y1-l.y0) + (c.x1-c.x0)*(c.y1-c.y0) - (least(l.x1,c.x1)-greatest(l.x0,c.x0))*(least(l.y1,c.y1)-greatest(l.y0,c.y0))))"""
 )
 def j11_hidden_text(spark, sf_dir):
-    m = derive.markups(spark, sf_dir).withColumn("text", F.substring("text", 1, 2))
+    m = derive.markups(spark, sf_dir)
     cad = m.where("turn > 0").withColumnRenamed("xref", "id")
     layer = m.where("turn % 2 = 1").withColumn("x0", F.col("x0") + 5).withColumn("x1", F.col("x1") + 5)
     return M.hidden_only(cad, layer).select("doc_key", "page", "id")

@@ -44,10 +44,9 @@ def w12_column_order(spark, sf_dir):
     return R.column_order(column_lines(spark, sf_dir)).select("doc_key", "page", "ord", "column", "place")
 
 
-@query(LINE + ", d AS (SELECT doc_key, count(DISTINCT page) AS n FROM line GROUP BY 1), t AS (SELECT doc_key, text, count(DISTINCT page) AS n_pages FROM (SELECT doc_key, page, text[1:6] AS text FROM line) GROUP BY ALL) SELECT doc_key, text, n_pages FROM t JOIN d USING (doc_key) WHERE n_pages >= greatest(3, 0.1 * n)")
+@query(LINE + ", d AS (SELECT doc_key, count(DISTINCT page) AS n FROM line GROUP BY 1), t AS (SELECT doc_key, text, count(DISTINCT page) AS n_pages FROM line GROUP BY ALL) SELECT doc_key, text, n_pages FROM t JOIN d USING (doc_key) WHERE n_pages >= greatest(3, 0.1 * n)")
 def a16_repeated_texts(spark, sf_dir):
-    l = derive.lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 6))
-    return R.repeated_texts(l, 0.1)
+    return R.repeated_texts(derive.lines(spark, sf_dir), 0.1)
 
 
 @query(
@@ -63,11 +62,11 @@ def a17_repeated_hits(spark, sf_dir):
     return R.repeated_hits(hits, pages, 150.0, 0.25).drop("x", "y")
 
 
-@query(SEG + ", t AS (SELECT 'T' || id AS text, ax AS x, ay AS y FROM segment WHERE id % 6 = 0), e AS (SELECT id, ex AS x, ey AS y FROM segment WHERE id % 6 <> 0) SELECT e.id, arg_min(text, (sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)), text)) AS near FROM e JOIN t ON sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)) <= 30 GROUP BY e.id")
+@query(SEG + ", t AS (SELECT sheet, 'T' || id AS text, ax AS x, ay AS y FROM segment), e AS (SELECT id, sheet, ex AS x, ey AS y FROM segment) SELECT e.sheet, e.id, arg_min(text, (sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)), text)) AS near FROM e JOIN t ON e.sheet = t.sheet AND sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)) <= 30 GROUP BY ALL")
 def j32_near_text(spark, sf_dir):
     s = derive.segments(spark, sf_dir)
-    texts = s.where("id % 6 = 0").select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("text"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-    return R.near_text(s.where("id % 6 <> 0").select("id", F.col("ex").alias("x"), F.col("ey").alias("y")), texts, 30.0)
+    texts = s.select("sheet", F.concat(F.lit("T"), F.col("id").cast("string")).alias("text"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    return R.near_text(s.select("sheet", "id", F.col("ex").alias("x"), F.col("ey").alias("y")), texts, 30.0, ["sheet"])
 
 
 @query(LINE + " SELECT doc_key, page, ord, '[p' || page || '.t' || ord || ' @ 72,' || round_even(y0, 0)::BIGINT || ',540,' || round_even(y1, 0)::BIGINT || '] ' || text AS line FROM line")
@@ -152,12 +151,12 @@ def k8_json_round_trip(spark, sf_dir):
     return rings.from_json(rings.to_json(e)).select("id", "kind", "layer", F.col("vertices")[0]["x"].alias("x"), "content")
 
 
-@query(PNT + ", p AS (SELECT DISTINCT a.x, a.y, round_even((b.x + 7 - a.x) / 2, 0) AS bx, round_even((b.y - 3 - a.y) / 2, 0) AS by_ FROM point a JOIN point b ON sqrt((b.x+7-a.x)*(b.x+7-a.x)+(b.y-3-a.y)*(b.y-3-a.y)) <= 12), g AS (SELECT bx, by_, count(*) AS votes FROM p GROUP BY ALL) SELECT bx::BIGINT AS bx, by_::BIGINT AS \"by\", votes, true AS significant FROM g ORDER BY votes DESC, bx, by_ LIMIT 1")
+@query(PNT + ", p AS (SELECT DISTINCT a.sheet, a.x, a.y, round_even((b.x + 7 - a.x) / 2, 0) AS bx, round_even((b.y - 3 - a.y) / 2, 0) AS by_ FROM point a JOIN point b ON a.sheet = b.sheet AND sqrt((b.x+7-a.x)*(b.x+7-a.x)+(b.y-3-a.y)*(b.y-3-a.y)) <= 12), g AS (SELECT sheet, bx, by_, count(*) AS votes FROM p GROUP BY ALL), m AS (SELECT *, sum(votes) OVER w / count(*) OVER w AS mean, count(*) OVER w AS n_bins FROM g WINDOW w AS (PARTITION BY sheet)) SELECT sheet, bx::BIGINT AS bx, by_::BIGINT AS \"by\", votes, votes > mean AND ln(n_bins) + votes - mean - votes * ln(votes / mean) < ln(1e-6) AS significant FROM m QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY votes DESC, bx, by_) = 1")
 def j24_a24_offset_votes(spark, sf_dir):
     p = derive.points(spark, sf_dir)
-    a = p.select(F.col("x").alias("lx"), F.col("y").alias("ly"))
-    e = p.select((F.col("x") + 7).alias("rx"), (F.col("y") - 3).alias("ry"))
-    return A.offset_votes(a, e, 12.0).select("bx", "by", "votes", "significant")
+    a = p.select("sheet", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    e = p.select("sheet", (F.col("x") + 7).alias("rx"), (F.col("y") - 3).alias("ry"))
+    return A.offset_votes(a, e, 12.0, keys=["sheet"]).select("sheet", "bx", "by", "votes", "significant")
 
 
 @query("WITH s AS (SELECT ['circle', 'square', 'triangle'][p_size % 3 + 1] AS shape, p_size % 2 = 0 AS filled, p_size // 10 AS size, count(*) AS n FROM part GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY shape ORDER BY n DESC, filled, size)::INT AS rank FROM s QUALIFY rank <= 3")

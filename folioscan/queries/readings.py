@@ -70,7 +70,7 @@ def x17_depth_rulers(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT 'u' || (user_id % 20) AS doc_key, (event_id % 40 * 10)::DOUBLE AS y FROM events WHERE event_id % 3 = 0), d AS (SELECT 'u' || (user_id % 20) AS doc_key, (event_id % 300)::DOUBLE + 0.5 AS loc, 't' || event_id AS text FROM events WHERE event_id % 7 = 1),
+    """WITH b AS (SELECT DISTINCT 'u' || (user_id % 20) AS doc_key, (event_id % 40 * 10)::DOUBLE AS y FROM events), d AS (SELECT 'u' || (user_id % 20) AS doc_key, (event_id % 300)::DOUBLE + 0.5 AS loc, 't' || event_id AS text FROM events),
 n AS (SELECT *, lead(y) OVER (PARTITION BY doc_key ORDER BY y) AS nxt FROM b),
 s AS (SELECT n.doc_key, y, any_value(nxt) AS nxt, string_agg(text, ' ' ORDER BY loc, text) AS description FROM n LEFT JOIN d ON d.doc_key = n.doc_key AND loc >= y AND loc < coalesce(nxt, 1e9) GROUP BY n.doc_key, y),
 l AS (SELECT *, max(CASE WHEN description IS NOT NULL THEN y END) OVER (PARTITION BY doc_key) AS last FROM s)
@@ -78,20 +78,20 @@ SELECT doc_key, y AS top, CASE WHEN y < last THEN nxt END AS bottom, 0.85::DOUBL
 )
 def w13_layers(spark, sf_dir):
     e = derive.table(spark, sf_dir, "events").withColumn("doc_key", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")))
-    b = e.where("event_id % 3 = 0").select("doc_key", (F.col("event_id") % 40 * 10).cast("double").alias("y"), F.lit("rule").alias("kind")).distinct()
-    d = e.where("event_id % 7 = 1").select("doc_key", ((F.col("event_id") % 300) + 0.5).alias("at"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"))
+    b = e.select("doc_key", (F.col("event_id") % 40 * 10).cast("double").alias("y"), F.lit("rule").alias("kind")).distinct()
+    d = e.select("doc_key", ((F.col("event_id") % 300) + 0.5).alias("at"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"))
     return S.layers(b, d)
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT 'u' || (user_id % 20) AS doc_key, (event_id % 40 * 10)::DOUBLE AS y FROM events WHERE event_id % 3 = 0), n AS (SELECT doc_key, y AS top, lead(y) OVER (PARTITION BY doc_key ORDER BY y) AS bottom FROM b),
-d AS (SELECT 'u' || (user_id % 20) AS doc_key, (event_id % 300)::DOUBLE + 0.5 AS loc, 'S-' || event_id AS label FROM events WHERE event_id % 7 = 1)
+    """WITH b AS (SELECT DISTINCT 'u' || (user_id % 20) AS doc_key, (event_id % 40 * 10)::DOUBLE AS y FROM events), n AS (SELECT doc_key, y AS top, lead(y) OVER (PARTITION BY doc_key ORDER BY y) AS bottom FROM b),
+d AS (SELECT 'u' || (user_id % 20) AS doc_key, (event_id % 300)::DOUBLE + 0.5 AS loc, 'S-' || event_id AS label FROM events)
 SELECT n.doc_key, top, bottom, arg_min(label, (loc, label)) AS label FROM n JOIN d ON n.doc_key = d.doc_key AND loc >= top AND loc < bottom GROUP BY ALL"""
 )
 def w14_samples(spark, sf_dir):
     e = derive.table(spark, sf_dir, "events").withColumn("doc_key", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")))
-    b = e.where("event_id % 3 = 0").select("doc_key", (F.col("event_id") % 40 * 10).cast("double").alias("y")).distinct()
-    d = e.where("event_id % 7 = 1").select("doc_key", ((F.col("event_id") % 300) + 0.5).alias("at"), F.concat(F.lit("S-"), F.col("event_id").cast("string")).alias("label"))
+    b = e.select("doc_key", (F.col("event_id") % 40 * 10).cast("double").alias("y")).distinct()
+    d = e.select("doc_key", ((F.col("event_id") % 300) + 0.5).alias("at"), F.concat(F.lit("S-"), F.col("event_id").cast("string")).alias("label"))
     return S.samples(b, d)
 
 
@@ -116,15 +116,15 @@ def j28_values_beside(spark, sf_dir):
 
 @query(
     derive.with_sql("segment")
-    + """, b AS (SELECT layer AS doc_key, id AS box_id, y0, y0 + 4 AS y1 FROM segment WHERE id % 10 = 0), l AS (SELECT layer AS doc_key, ay AS y FROM segment WHERE id % 4 = 1),
+    + """, b AS (SELECT layer AS doc_key, id AS box_id, y0, y0 + 4 AS y1 FROM segment), l AS (SELECT layer AS doc_key, ay AS y FROM segment),
 n AS (SELECT b.doc_key, box_id, any_value(b.y0) AS y0, any_value(b.y1) AS y1, count(y) AS n_lines, min(y) AS y FROM b LEFT JOIN l ON l.doc_key = b.doc_key AND y >= y0 - 6 AND y < y1 + 6 GROUP BY ALL)
 SELECT doc_key, box_id, 5 + 0.5::DOUBLE * CASE n_lines WHEN 1 THEN y WHEN 0 THEN (y0 + y1) / 2 END AS value, CASE WHEN n_lines = 0 THEN 3.0::DOUBLE END AS plus_minus, n_lines, CASE n_lines WHEN 1 THEN 'read' WHEN 0 THEN 'unsnapped' ELSE 'ambiguous' END AS status FROM n"""
 )
 def x23_line_readings(spark, sf_dir):
     s = derive.segments(spark, sf_dir)
-    b = s.where("id % 10 = 0").select(F.col("layer").alias("doc_key"), F.col("id").alias("box_id"), "y0", (F.col("y0") + 4).alias("y1"))
+    b = s.select(F.col("layer").alias("doc_key"), F.col("id").alias("box_id"), "y0", (F.col("y0") + 4).alias("y1"))
     fits = s.select(F.col("layer").alias("doc_key")).distinct().select("doc_key", F.lit(0.5).alias("slope"), F.lit(5.0).alias("intercept"))
-    return S.read_line(s.where("id % 4 = 1").select(F.col("layer").alias("doc_key"), F.col("ay").alias("y")), b, fits)
+    return S.read_line(s.select(F.col("layer").alias("doc_key"), F.col("ay").alias("y")), b, fits)
 
 
 @query("SELECT l_orderkey, l_linenumber, printf('%.1f', round_even(l_quantity * 1.25::DOUBLE, 1)) || ' +/- 0.3' AS shown FROM lineitem")

@@ -13,8 +13,8 @@ from folioscan.registry import query
 #: Sheets of a set: parts as pages, brands as set, a number from the key; every 23rd sheet is not read.
 _SHEETS = """sheet AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, CASE WHEN p_partkey % 23 <> 0 THEN 'A-' || (p_partkey % 400) END AS number, p_size FROM part)"""
 _CALLS = "callout AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, (p_size % 9)::VARCHAR AS view, 'A-' || ((p_partkey * 7) % 450) AS sheet FROM part)"
-_VIEWS = "views AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, unnest([(p_size % 5)::VARCHAR, (p_size % 7)::VARCHAR]) AS view FROM part WHERE p_partkey % 11 <> 0)"
-_LONE = "lone AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, (p_size % 6)::VARCHAR AS mark FROM part WHERE p_partkey % 2 = 0)"
+_VIEWS = "views AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, unnest([(p_size % 5)::VARCHAR, (p_size % 7)::VARCHAR]) AS view FROM part)"
+_LONE = "lone AS (SELECT p_brand AS doc_key, p_partkey::INT AS page, (p_size % 6)::VARCHAR AS mark FROM part)"
 
 
 def index(spark, sf_dir):
@@ -29,11 +29,11 @@ def callouts(spark, sf_dir):
 
 def views(spark, sf_dir):
     s = F.col("p_size")
-    return derive.table(spark, sf_dir, "part").where("p_partkey % 11 <> 0").select(F.col("p_brand").alias("doc_key"), F.col("p_partkey").cast("int").alias("page"), F.explode(F.array((s % 5).cast("string"), (s % 7).cast("string"))).alias("view"))
+    return derive.table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_key"), F.col("p_partkey").cast("int").alias("page"), F.explode(F.array((s % 5).cast("string"), (s % 7).cast("string"))).alias("view"))
 
 
 def lone(spark, sf_dir):
-    return derive.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("doc_key"), F.col("p_partkey").cast("int").alias("page"), (F.col("p_size") % 6).cast("string").alias("mark"))
+    return derive.table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_key"), F.col("p_partkey").cast("int").alias("page"), (F.col("p_size") % 6).cast("string").alias("mark"))
 
 
 @query(f"WITH {_SHEETS} SELECT doc_key, number, count(DISTINCT page) AS n_pages FROM sheet WHERE number IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page) > 1")
@@ -61,8 +61,8 @@ def u4_unread_marks(spark, sf_dir):
     return S.unread_marks(lone(spark, sf_dir), views(spark, sf_dir))
 
 
-_ROWS = "r AS (SELECT DISTINCT 'b' || (o_custkey % 10) AS doc_key, 'W-' || (o_orderkey % 300) AS mark FROM orders WHERE o_orderkey % 5 <> 1)"
-_MARKS = "m AS (SELECT DISTINCT 'b' || (l_suppkey % 10) AS doc_key, CASE WHEN l_partkey % 9 = 0 THEN 'EF' ELSE 'W' END || '-' || (l_orderkey % 320) AS mark FROM lineitem WHERE l_orderkey % 7 <> 2)"
+_ROWS = "r AS (SELECT DISTINCT 'b' || (o_custkey % 10) AS doc_key, 'W-' || (o_orderkey % 300) AS mark FROM orders)"
+_MARKS = "m AS (SELECT DISTINCT 'b' || (l_suppkey % 10) AS doc_key, CASE WHEN l_partkey % 9 = 0 THEN 'EF' ELSE 'W' END || '-' || (l_orderkey % 320) AS mark FROM lineitem)"
 
 
 @query(
@@ -75,8 +75,8 @@ SELECT doc_key, mark, CASE WHEN row THEN 'schedule' ELSE 'mark' END AS side, CAS
 )
 def j19_x15_schedule_marks(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = derive.table(spark, sf_dir, "orders").where(k % 5 != 1).select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("doc_key"), F.lit("s").alias("schedule"), F.concat(F.lit("W-"), (k % 300).cast("string")).alias("mark"))
-    l = derive.table(spark, sf_dir, "lineitem").where("l_orderkey % 7 <> 2")
+    rows = derive.table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("doc_key"), F.lit("s").alias("schedule"), F.concat(F.lit("W-"), (k % 300).cast("string")).alias("mark"))
+    l = derive.table(spark, sf_dir, "lineitem")
     marks = l.select(F.concat(F.lit("b"), (F.col("l_suppkey") % 10).cast("string")).alias("doc_key"), F.lit(0).alias("page"), F.concat(F.when(F.col("l_partkey") % 9 == 0, "EF").otherwise("W"), F.lit("-"), (F.col("l_orderkey") % 320).cast("string")).alias("mark"))
     return S.schedule_check(rows, marks, spark.createDataFrame([("b1", 3), ("b4", 5)], "doc_key string, page int"))
 
