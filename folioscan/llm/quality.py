@@ -5,8 +5,9 @@ of form: symbols, capitals, repetition, line shape) gives each text a probabilit
 Hosts and paths get posteriors from grouped sums of p: a host's rate is shrunk towards
 the global rate, a path's towards its host's, by strengths that the method of moments
 estimates from the spread between sites, so a sparse site says little more than its
-parent.  The score of a document is its own log-odds moved by how far its path's
-posterior lies from the global rate.
+parent.  A document's own p is left out of the sums that judge it.  Its score is its own
+log-odds moved by the log-odds of its path's posterior less those of the global rate:
+Bayes' rule, with the site's rate in place of the global one that p stands on.
 
 A source that is a web address gives its host and first path segment; any other source
 is a host by itself, with the language as path.  The classifier is fitted on at most
@@ -32,8 +33,6 @@ from folioscan.storage import materialize, small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3000
-#: How much of the distance between a path's posterior and the global rate moves a document.
-SITE_WEIGHT = 0.5
 #: Bounds of a shrinkage strength, in documents.
 STRENGTH = (10.0, 10_000.0)
 _TOKENS_KEPT = 200_000
@@ -85,19 +84,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     some = pick[0].unionByName(pick[1])
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
-    rows = [(r.doc_id, r.text, int(r.y)) for r in got.collect()]
-    rows.sort()
-    forms = _Forms()
-    x = np.array([features(t, forms) for _, t, _ in rows]).reshape(-1, FEATURES)
-    y = np.array([r[2] for r in rows], float)
+    # one row for each id and text, so that copies weigh no more; features alone leave the executors
+    got = got.groupBy("doc_id", F.xxhash64("text").alias("k")).agg(F.first("text").alias("text"), F.first("y").cast("int").alias("y"))
+    small_batches(docs.sparkSession)
+    rows = got.select("doc_id", "k", "text", "y").mapInArrow(_feature_batches, "doc_id long, k long, y int, x array<double>")
+    # repeated ids cannot take more than the sample's bound
+    kept = rows.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(2 * sample).collect()
+    kept.sort(key=lambda r: (r["doc_id"], r["k"]))
+    x = np.array([r["x"] for r in kept]).reshape(-1, FEATURES)
+    y = np.array([r["y"] for r in kept], float)
     trees = fit_trees(x, y)
     # the sample is balanced, the corpus is not: put the labels' own rate back
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(rows) and 0 < y.mean() < 1:
+    if len(kept) and 0 < y.mean() < 1:
         trees.base += math.log(n[1] / n[0]) - math.log(y.mean() / (1 - y.mean()))
     return trees
 
 
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forms = _Forms()
+    for batch in batches:
+        x = [features(t.as_py(), forms) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "k", "y", "x"])
+
+
 def _score_batches(trees: Trees, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = _Forms()
@@ -131,33 +141,54 @@ def _strength(groups: DataFrame, parent: Column) -> Column:
     return F.least(F.greatest(F.coalesce(m, F.lit(STRENGTH[1])), F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """``(host, path, n, host_rate, path_rate, global_rate)``, one row for each path of each host."""
+def site_sums(scored: DataFrame) -> DataFrame:
+    """``(host, path, n, s, host_n, host_s, m_host, m_path, global_rate)``, one row for each path of each host.
+
+    Counts and sums of p over paths and hosts, and the strengths of shrinkage.
+    """
     paths = scored.groupBy(F.col("__host").alias("host"), F.col("__path").alias("path")).agg(F.sum("__p").alias("s"), F.count("*").alias("n"))
     paths = materialize(paths, "quality")
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = hosts.agg((F.sum("s") + 0.5).alias("s"), (F.sum("n") + 1.0).alias("n")).first()
     rate = total["s"] / total["n"] if total["n"] else 0.5
     m_host = hosts.agg(_strength(hosts, F.lit(rate)).alias("m")).first()["m"]
-    hosts = hosts.select("host", ((F.col("s") + m_host * F.lit(rate)) / (F.col("n") + m_host)).alias("host_rate"))
-    joined = paths.join(hosts, "host")
-    m_path = joined.agg(_strength(joined, F.col("host_rate")).alias("m")).first()["m"]
-    posterior = (F.col("s") + m_path * F.col("host_rate")) / (F.col("n") + m_path)
-    return joined.select("host", "path", "n", "host_rate", posterior.alias("path_rate"), F.lit(rate).alias("global_rate"))
+    rates = hosts.select("host", _shrunk(F.col("s"), F.col("n"), F.lit(rate), m_host).alias("r"))
+    joined = paths.join(rates, "host")
+    m_path = joined.agg(_strength(joined, F.col("r")).alias("m")).first()["m"]
+    named = paths.join(hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n")), "host")
+    return named.select("host", "path", "n", "s", "host_n", "host_s", F.lit(m_host).alias("m_host"), F.lit(m_path).alias("m_path"), F.lit(rate).alias("global_rate"))
 
 
-def classify(scored: DataFrame, sites: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``scored`` with ``host, path, doc_score, host_rate, path_rate, score, keep``."""
+def _shrunk(s: Column, n: Column, prior: Column, m: Column | float) -> Column:
+    return (s + m * prior) / (n + m)
+
+
+def site_posteriors(scored: DataFrame) -> DataFrame:
+    """``(host, path, n, host_rate, path_rate, global_rate)``, one row for each path of each host."""
+    c = F.col
+    host = _shrunk(c("host_s"), c("host_n"), c("global_rate"), c("m_host"))
+    return site_sums(scored).select("host", "path", "n", host.alias("host_rate"), _shrunk(c("s"), c("n"), host, c("m_path")).alias("path_rate"), "global_rate")
+
+
+def classify(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``scored`` with ``host, path, doc_score, host_rate, path_rate, score, keep``.
+
+    The rates are those of the other documents of the host and the path.
+    """
+    c = F.col
 
     def odds(p: Column) -> Column:
         return F.log(p / (1 - p))
 
-    rates = sites.select(F.col("host").alias("__h"), F.col("path").alias("__q"), "host_rate", "path_rate", "global_rate")
-    out = scored.join(rates, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__q")))
-    logit = odds(F.col("__p")) + SITE_WEIGHT * (odds(F.col("path_rate")) - odds(F.col("global_rate")))
-    out = out.withColumn("score", 1 / (1 + F.exp(-logit))).withColumn("keep", F.col("score") >= threshold)
-    out = out.drop("__h", "__q", "global_rate")
-    return out.withColumnsRenamed({"__p": "doc_score", "__host": "host", "__path": "path"})
+    sums = site_sums(scored).withColumnsRenamed({"host": "__h", "path": "__q", "n": "__n", "s": "__sum", "host_n": "__hn", "host_s": "__hs", "global_rate": "__g", "m_host": "__mh", "m_path": "__mp"})
+    out = scored.join(sums, (c("__host") == c("__h")) & (c("__path") == c("__q")))
+    host = F.least(F.greatest(_shrunk(c("__hs") - c("__p"), c("__hn") - 1, c("__g"), c("__mh")), F.lit(1e-9)), F.lit(1 - 1e-9))
+    out = out.withColumn("host_rate", host)
+    path = F.least(F.greatest(_shrunk(c("__sum") - c("__p"), c("__n") - 1, c("host_rate"), c("__mp")), F.lit(1e-9)), F.lit(1 - 1e-9))
+    out = out.withColumn("path_rate", path)
+    logit = odds(c("__p")) + odds(c("path_rate")) - odds(c("__g"))
+    out = out.withColumn("score", 1 / (1 + F.exp(-logit))).withColumn("keep", c("score") >= threshold)
+    return out.drop("__h", "__q", "__n", "__sum", "__hn", "__hs", "__g", "__mh", "__mp").withColumnsRenamed({"__p": "doc_score", "__host": "host", "__path": "path"})
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,14 +198,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated ids pass through.  Texts are read once.
     """
     scored = materialize(score(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels)).drop("text"), "quality")
-    return classify(scored, site_posteriors(scored)).select("doc_id", "host", "path", "doc_score", "host_rate", "path_rate", "score", "keep")
+    return classify(scored).select("doc_id", "host", "path", "doc_score", "host_rate", "path_rate", "score", "keep")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
-    scored = score(docs, fit(docs, labels))
-    sites = site_posteriors(scored.select("__p", "__host", "__path"))
-    rates = sites.select(F.col("host").alias("__h"), F.col("path").alias("__q"), F.col("path_rate").alias("__r"), F.col("global_rate").alias("__g"))
-    rated = scored.join(rates, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__q")))
-    move = SITE_WEIGHT * (F.log(F.col("__r") / (1 - F.col("__r"))) - F.log(F.col("__g") / (1 - F.col("__g"))))
-    return rated.where(F.log(F.col("__p") / (1 - F.col("__p"))) + move >= 0).select(*docs.columns)
+    """The rows of ``docs`` that the classifier keeps, with their columns.  Texts are scored once."""
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    hidden = docs.withColumnsRenamed(own)
+    scored = materialize(score(hidden, fit(docs, labels), own["text"], own["source"], own["lang"]), "quality")
+    return classify(scored).where("keep").select(*own.values()).withColumnsRenamed({v: k for k, v in own.items()})

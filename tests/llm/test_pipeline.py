@@ -203,3 +203,45 @@ def test_lines_of_one_long_text(spark):
     rows = [(i, "\n".join(plate), f"s{i}") for i in range(8)]
     got = {r.doc_id: (r.text, r.n_removed) for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] == ("\n".join(plate), 0) and all(got[i] == ("", 5000) for i in range(1, 8))
+
+
+def test_scores_follow_from_p_by_brute_force(spark):
+    """Every posterior, score and decision again, from doc_score, host and path alone."""
+    from folioscan.llm import queries
+
+    rows = queries.op1_quality(spark, D).collect()
+    assert len(rows) == table(spark, D, "documents").count()
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        paths[r.host, r.path].append(r.doc_score)
+        hosts[r.host].append(r.doc_score)
+    rate = (sum(r.doc_score for r in rows) + 0.5) / (len(rows) + 1.0)
+
+    def strength(groups):
+        noise = sum(q * (1 - q) for _, q in groups)
+        spread = sum(len(ps) * (sum(ps) / len(ps) - q) ** 2 for ps, q in groups) - noise
+        between = spread / max(sum(len(ps) for ps, _ in groups) - len(groups), 1.0)
+        m = noise / len(groups) / between - 1 if between > 0 else quality.STRENGTH[1]
+        return min(max(m, quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    m_host = strength([(ps, rate) for ps in hosts.values()])
+    whole = {h: (sum(ps) + m_host * rate) / (len(ps) + m_host) for h, ps in hosts.items()}
+    m_path = strength([(ps, whole[h]) for (h, _), ps in paths.items()])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        host = (sum(hosts[r.host]) - r.doc_score + m_host * rate) / (len(hosts[r.host]) - 1 + m_host)
+        ps = paths[r.host, r.path]
+        path = (sum(ps) - r.doc_score + m_path * host) / (len(ps) - 1 + m_path)
+        assert abs(r.host_rate - host) < 1e-6 and abs(r.path_rate - path) < 1e-6
+        score = 1 / (1 + np.exp(-(logit(r.doc_score) + logit(path) - logit(rate))))
+        assert abs(r.score - score) < 1e-5 and r.keep == (r.score >= 0.5)
+
+
+def test_quality_of_ties_and_repeated_ids(spark):
+    docs = [(1, "same text here.", "h", "en")] * 3 + [(1, "other !!! ### text", "h", "en"), (None, None, None, None), (2, "", "h", "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.quality(df, labels).collect()
+    assert len(rows) == 6 and len({(r.doc_score, r.score) for r in rows if r.doc_id == 1}) <= 2
+    assert all(0 < r.score < 1 for r in rows)
+    assert quality.quality(df.limit(0), labels.limit(0)).count() == 0
