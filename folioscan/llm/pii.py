@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.storage import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?=[A-Za-z0-9._%+-])(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -53,20 +55,67 @@ CUES = {
 }
 
 
-def _located(text: Column, pattern: str, may: Column) -> Column:
-    """All matches of a pattern as ``array<struct<start, end, hit>>`` in code points."""
-    hits = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.when(F.size(hits) > 0, F.split(text, pattern, -1))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    kind = "struct<start:int,end:int,hit:string>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{kind}>").alias("out"))
+#: Marks around matches; a text's own marks are read as another private character, which no pattern knows.
+OPENED, CLOSED, OTHER = "\ue010", "\ue011", "\ue012"
+FOUND = "struct<start:int,end:int,hit:string,before:string,after:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join) -> Column:
+    """Running results of ``join`` (sum, greatest, least) over an array, in blocks of about its root.
+
+    An aggregate that appends to an array copies it each time; over blocks that is
+    about n ** 1.5 copies for n values, and few for few.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def scanned(xs: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            v = F.when(acc["v"].isNull(), x).otherwise(join(acc["v"], x))
+            return F.struct(v.alias("v"), F.concat(acc["out"], F.array(v)).alias("out"))
+
+        return F.aggregate(xs, F.struct(first.cast("bigint").alias("v"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def over(vs: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(vs)))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), width), lambda k: scanned(F.slice(vs, k, width), F.lit(None)))
+
+        def moved(bs: Column) -> Column:
+            before = scanned(F.transform(bs, lambda b: F.element_at(b, -1)), F.lit(None))
+            shift = lambda o: F.flatten(F.transform(bs, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: join(F.get(o, k - 1), x)))))
+            return F.when(F.size(bs) == 1, F.element_at(bs, 1)).otherwise(_let(before, shift))
+
+        return F.when(F.size(vs) == 0, none).otherwise(_let(blocks, moved))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        return F.struct(b.alias("pos"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    return _let(values.cast("array<bigint>"), over)
 
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), F.array().cast(f"array<{kind}>"))
+
+def _cut(text: Column, pattern: str, may: Column) -> Column:
+    """The text cut at its matches: a gap, a match, a gap and so on.  One pass of the matcher."""
+    marked = F.regexp_replace(text, pattern, f"{OPENED}$0{CLOSED}")
+    return F.when(may, F.split(marked, f"[{OPENED}{CLOSED}]", -1)).otherwise(F.array(F.lit("")))
+
+
+def _located(parts: Column) -> Column:
+    """The matches among alternate gaps and matches, with their places in code points and some text on either side."""
+    none = F.array().cast(f"array<{FOUND}>")
+
+    def spans(ps: Column) -> Column:
+        def found(upto: Column) -> Column:
+            def span(k: Column) -> Column:
+                before = F.right(F.concat(F.coalesce(F.get(ps, 2 * k - 1), F.lit("")), F.get(ps, 2 * k)), F.lit(32))
+                after = F.left(F.concat(F.get(ps, 2 * k + 2), F.coalesce(F.get(ps, 2 * k + 3), F.lit(""))), F.lit(2))
+                return F.struct(F.get(upto, 2 * k).cast("int").alias("start"), F.get(upto, 2 * k + 1).cast("int").alias("end"), F.get(ps, 2 * k + 1).alias("hit"), before.alias("before"), after.alias("after"))
+
+            return F.transform(F.sequence(F.lit(0), F.floor(F.size(ps) / 2).cast("int") - 1), span)
+
+        return F.when(F.size(ps) >= 3, _let(running(F.transform(ps, F.length), lambda a, b: a + b), found)).otherwise(none)
+
+    return spans(parts)
 
 
 def _digits(hit: Column) -> Column:
@@ -116,7 +165,7 @@ def _strict(kind: str, hit: Column) -> Column:
 def _listed(kind: str, hit: Column) -> Column:
     """The gazetteer labeler; null where it has no vote."""
     if kind == "email":
-        return F.when(F.lower(F.regexp_extract(hit, "([A-Za-z0-9]+)$", 1)).isin(TOP_LEVEL), 1)
+        return F.when(F.lower(F.regexp_extract(F.right(hit, F.lit(64)), "([A-Za-z0-9]+)$", 1)).isin(TOP_LEVEL), 1)
     if kind == "ip":
         first = _octets(hit)[0]
         return F.when(first.isin("0", "127", "255"), 0).otherwise(1)
@@ -131,17 +180,13 @@ def _sound(kind: str, hit: Column) -> Column:
     return F.length(_digits(hit)).between(10, 15) if kind == "phone" else _passes(kind, hit)
 
 
-def _candidates(text: Column, kind: str, wider: bool) -> Column:
-    """``array<struct<start, end, cell>>`` of one kind, base or wider."""
-    may = text.contains("@") if kind == "email" and not wider else text.contains("+") if kind == "phone" and not wider else F.lit(True)
-    found = _located(text, (WIDER if wider else BASE)[kind], may)
+def _candidates(found: Column, kind: str, wider: bool) -> Column:
+    """``array<struct<start, end, cell>>`` of one kind, base or wider, from its located matches."""
     if not wider:
         found = F.filter(found, lambda s: _passes(kind, s["hit"]))
 
     def cell(s: Column) -> Column:
-        hit = s["hit"]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))))
-        after = F.substring(text, s["end"] + 1, F.lit(2))
+        hit, before, after = s["hit"], F.lower(s["before"]), s["after"]
         cue = F.when(before.rlike(CUES[kind]), 1)
         ends = ~before.rlike(r"[\p{L}\p{N}]$") & ~after.rlike(r"^(?:[\p{L}\p{N}]|[.-][0-9])")
         code = F.lit(KINDS.index(kind))
@@ -156,16 +201,16 @@ def _candidates(text: Column, kind: str, wider: bool) -> Column:
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with arrays ``__base_<kind>`` and ``__wider_<kind>``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digit = text.rlike("[0-9]")
-    out = docs
-    for kind in KINDS:
-        for name, wider in (("base", False), ("wider", True)):
-            found = _candidates(text, kind, wider)
-            if kind != "email":
-                found = F.when(digit, found)
-            out = out.withColumn(f"__{name}_{kind}", F.coalesce(found, F.array().cast("array<struct<start:int,end:int,cell:int>>")))
-    return out
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPENED + CLOSED, OTHER + OTHER)
+    which = [(kind, wider) for kind in KINDS for wider in (False, True)]
+    out = docs.withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    text, digit = F.col("__text"), F.col("__digit")
+    may = {("email", False): text.contains("@"), ("email", True): text.rlike("(?i)at"), ("phone", False): text.contains("+") & digit}
+    cut = F.array(*(_cut(text, (WIDER if wider else BASE)[kind], may.get((kind, wider), digit)) for kind, wider in which))
+    out = out.withColumn("__found", F.transform(cut, _located))
+    for i, (kind, wider) in enumerate(which):
+        out = out.withColumn(f"__{'wider' if wider else 'base'}_{kind}", _candidates(F.get("__found", F.lit(i)), kind, wider))
+    return out.drop("__text", "__digit", "__found")
 
 
 def estimate(counts: dict[int, int], rounds: int = 60) -> dict[str, np.ndarray]:
@@ -234,31 +279,52 @@ def _named(no: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def _accepted(kind: str, verdict: str):
-    def fresh(s: Column) -> Column:
-        taken = F.exists(f"__base_{kind}", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (F.substring(F.lit(verdict), s["cell"] + 1, F.lit(1)) == "1") & ~taken
+def _accepted(verdict: str) -> Column:
+    """The wider candidates of each kind that the classifier accepts and that overlap no base span of it."""
+    span = "array<struct<start:int,end:int,cell:int>>"
+
+    def tagged(kind: str) -> Column:
+        base = F.transform(f"__base_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("cell")))
+        wider = F.filter(f"__wider_{kind}", lambda s: F.substring(F.lit(verdict), s["cell"] + 1, F.lit(1)) == "1")
+        return F.when(F.size(wider) > 0, F.array_sort(F.concat(base.cast(span), wider.cast(span)))).otherwise(F.array().cast(span))
+
+    def free(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: F.when(s["cell"] < 0, s["end"]).otherwise(-1))
+        starts = F.reverse(F.transform(spans, lambda s: F.when(s["cell"] < 0, s["start"]).otherwise(1 << 30)))
+
+        def kept(upto: Column) -> Column:
+            def keep(s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(upto["ends"], i - 1) <= s["start"], F.lit(True))
+                behind = F.coalesce(F.get(upto["starts"], F.size(spans) - 2 - i) >= s["end"], F.lit(True))
+                return (s["cell"] >= 0) & before & behind
+
+            return F.filter(spans, keep)
+
+        bounds = F.struct(running(ends, lambda a, b: F.greatest(a, b)).alias("ends"), running(starts, lambda a, b: F.least(a, b)).alias("starts"))
+        return F.when(F.size(spans) == 0, spans).otherwise(_let(bounds, kept))
 
-    return fresh
+    return F.transform(F.array(*map(tagged, KINDS)), free)
 
 
-def detect(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of ``struct<start, kind_no, end, kind>``.
 
     Both are ordered by start, then kind.  ``spans`` is the base plus the wider
     candidates that the classifier accepts and that overlap no base span of their
-    kind.  A null or empty text has none.  All columns pass through.
+    kind.  A null or empty text has none.  The columns ``keep`` (all of them if not given)
+    pass through, but those named ``base`` or ``spans`` give way to the operator's.
+    Texts are matched once: the candidates are written and both counted and judged.
     """
-    found = candidates(docs, text_col)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    arrays = [f"__{n}_{k}" for k in KINDS for n in ("base", "wider")]
+    found = materialize(candidates(docs, text_col).select(*kept, *arrays), "pii")
     verdict = "".join("1" if p >= threshold else "0" for p in train(cell_counts(found)))
-    out, shape = found, "array<struct<start:int,kind_no:int,end:int,kind:string>>"
-    base, more = [], []
-    for no, kind in enumerate(KINDS):
-        base.append(F.transform(f"__base_{kind}", _named(no, kind)))
-        more.append(F.transform(F.filter(f"__wider_{kind}", _accepted(kind, verdict)), _named(no, kind)))
-    out = out.withColumn("base", F.array_sort(F.concat(*base)).cast(shape))
-    out = out.withColumn("spans", F.array_sort(F.concat(F.col("base"), *more)).cast(shape))
-    return out.drop(*(f"__{n}_{k}" for k in KINDS for n in ("base", "wider")))
+    shape = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
+    found = found.withColumn("__more", _accepted(verdict))
+    base = [F.transform(f"__base_{kind}", _named(no, kind)) for no, kind in enumerate(KINDS)]
+    more = [F.transform(F.get("__more", F.lit(no)), _named(no, kind)) for no, kind in enumerate(KINDS)]
+    out = found.withColumn("base", F.array_sort(F.concat(*base)).cast(shape))
+    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), *more)).cast(shape)).drop("__more", *arrays)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,24 @@ def test_query_matches_brute_force(spark):
     for r in got:
         joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_a_long_text_of_many_matches(spark):
+    text = " ".join(f"user{i}@mail{i}.example.com" for i in range(40000))
+    wider = " ".join(f"45320151128303{i % 100:02d} me{i} at host dot org" for i in range(4000))
+    marks = f"a@b.c {pii.OPENED} 1.2.3.4 {pii.CLOSED}{pii.OPENED} x@y.zz +1 555 123 4567"
+    texts = {1: text, 2: wider, 3: marks, 4: pii.CLOSED}
+    check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+
+
+def test_wider_spans_overlap_no_base_span_of_their_kind(spark):
+    rng = random.Random(8)
+    bits = ["4532015112830366", "4532 0151 1283 0366", "1111222233334444", " ", " x ", "card ", "555-123-4567", "+1 555-123-4567", "me at host dot org", "a@b.co", "9.9.9.9", "9[.]9[.]9[.]9"]
+    texts = {i: " ".join(rng.choices(bits, k=rng.randint(1, 30))) for i in range(300)}
+    for r in pii.digest(pii.detect(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect():
+        spans = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        base = {(k, a, b) for a, _, b, k in brute(texts[r.doc_id])}
+        for k, a, b in spans:
+            if (k, int(a), int(b)) not in base:
+                assert not any(q == k and c < int(b) and int(a) < d for q, c, d in base)
+        assert spans == sorted(spans, key=lambda s: (int(s[1]), pii.KINDS.index(s[0])))
