@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.components import connected_components
 from folioscan.llm.simhash import local_roots
-from folioscan.llm.vectors import matrix, valid_vectors
+from folioscan.llm.vectors import matrix
 from folioscan.storage import materialize
 
 THRESHOLD = 0.9
@@ -73,7 +73,8 @@ def prune(x: np.ndarray) -> np.ndarray:
         order = np.argsort(-s, axis=1, kind="stable")
         near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
         far = np.sqrt(np.maximum(2 - 2 * s, 0))
-        among = np.sqrt(np.maximum(2 - 2 * np.einsum("rcd,red->rce", x[near], x[near]), 0))
+        near_x = x[near]
+        among = np.sqrt(np.maximum(2 - 2 * (near_x @ near_x.transpose(0, 2, 1)), 0))
         open_ = np.ones(near.shape, bool)
         for d in range(DEGREE):
             has = open_.any(1)
@@ -273,45 +274,82 @@ def _true_links(classes: DataFrame, picked: list, width: int, threshold: float)
     return {r["i"]: r["n"] for r in got}
 
 
+def _exact(classes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(rep, n, root)`` with every pair compared, in meetings of parts of at most about ``PART`` classes."""
+    parts = max(1, -(-classes.count() // PART))
+    rows = classes.select("rep", "v", "weight", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("c"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("d"))
+    rows = rows.select(F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "v", "weight")
+
+    def met(keys: tuple, part: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in keys)
+        ids, x = part.column("rep").to_numpy(), unit(matrix(part.column("v"), width))
+        weight, c = part.column("weight").to_numpy(), part.column("c").to_numpy()
+        n, ends = np.zeros(len(ids), np.int64), []
+        for at in range(0, len(ids), _AT_ONCE):
+            rows_ = np.arange(at, min(at + _AT_ONCE, len(ids)))
+            hit = (x[rows_] @ x.T >= threshold) & (rows_[:, None] != np.arange(len(ids)))
+            hit &= (np.minimum(c[rows_, None], c[None, :]) == lo) & (np.maximum(c[rows_, None], c[None, :]) == hi)
+            n[rows_] = hit.astype(np.int64) @ weight
+            a, b = np.nonzero(hit)
+            ends.append((rows_[a], b))
+        root = local_roots(len(ids), np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])) if ends else np.zeros(0, np.int64)
+        keep = n > 0
+        return pa.table({"rep": ids[keep], "n": n[keep], "root": ids[root[keep]]})
+
+    return materialize(rows.groupBy("lo", "hi").applyInArrow(met, "rep long, n long, root long"), "graph")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per distinct id.
+    """``(vec_id, n_links, component_id, kept)``, one row per row of ``rows``.
 
     A vector that is null, zero or empty or holds a null or non-finite component links
-    with nothing and is kept.  Rows that share an id count once, with their least valid
-    vector; rows without an id are left out.  Shorter vectors are filled with zeros.
+    with nothing and is kept.  Rows that share an id are vectors of their own; a row
+    without an id links like any other, names no component, and is kept only if no other
+    row of its component has an id.  Shorter vectors are filled with zeros.  Where the
+    graph's recall in the audit stays under ``RECALL`` with every shard overlapping every
+    other, all pairs are compared in blocks instead.
     """
     spark = rows.sparkSession
-    valid = valid_vectors(rows, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
+    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    sound = F.coalesce(sound, F.lit(False))
     # scaling by a power of two is exact and keeps squares of huge or tiny components finite
-    valid = valid.withColumn("v", F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))))))
-    keyed = materialize(valid.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))), "graph")
-    classes = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"), F.count("*").alias("weight"))
-    classes = materialize(classes, "graph")
+    scaled = F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs))))))
+    keyed = every.withColumn("v", F.when(sound, scaled)).withColumn("key", F.when(sound, F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))))
+    keyed = materialize(keyed, "graph")
+    classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight"))
+    # the number of a class is written with it, once
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "key", "id", "v", "weight"), "graph")
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     n, width = size["n"], size["w"] or 0
-    every = rows.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     if n:
-        drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
+        drawn = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toArrow()
         overlap = OVERLAP
         sample = unit(matrix(drawn.column(0), width))
         while True:
             k = min(CENTRES, max(1, -(-n * overlap // SHARD_ROWS)), len(sample))
             linked = _link(classes, centres_of(sample, k), overlap, width, threshold)
             counts = materialize(linked.groupBy("rep").agg(F.sum("n").alias("n")), "graph")
-            if overlap >= k or audit(classes, counts, width, threshold) >= RECALL:
+            if audit(classes, counts, width, threshold) >= RECALL:
+                break
+            if overlap >= k:
+                linked = _exact(classes, width, threshold)
+                counts = materialize(linked.groupBy("rep").agg(F.sum("n").alias("n")), "graph")
                 break
             overlap *= 2
         edges = linked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
         parts = connected_components(edges)
-        named = classes.select("key", "rep", "weight").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+        named = classes.select("key", "id", "rep", "weight").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
         links = F.coalesce("n", F.lit(0)) + F.col("weight") - 1
-        named = materialize(named.select("key", links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "graph")
-        found = keyed.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
+        named = materialize(named.select("key", "id", links.alias("n_links"), F.coalesce("component", "rep").alias("component")), "graph")
+        least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = named.join(least, "component").select("key", "n_links", "component_id")
     else:
-        found = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
-    out = every.join(found, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        named = spark.createDataFrame([], "key struct<a:bigint,b:bigint>, n_links long, component_id long")
+    out = keyed.select("vec_id", "key").join(named, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:

@@ -2,8 +2,9 @@
 
 Vectors become whole numbers, floor(64 x).  A bounded head of the longest vectors gives
 every query a first threshold, the k-th best score there.  Candidates are cut in blocks
-by descending length; a block is met by a block of queries only while the longest
-candidate times the longest query can reach the lowest threshold.  Inside a meeting,
+by descending length and queries by their cut-off, the least length of a vector that can
+reach a query's threshold; a block is met by a block of queries only while its longest
+vector reaches the least cut-off there, and only by the queries whose own it reaches.  Inside a meeting,
 vectors are rotated by the singular vectors of a bounded sample, so that a partial sum
 over the first coordinates plus the Cauchy-Schwarz bound on the rest rules most pairs
 out; what is left is scored exactly.  The rotation and the head steer the work alone,
@@ -123,8 +124,19 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
 
     n_query, n_block = -(-size["q"] // QUERIES), -(-size["n"] // ROWS)
     queries = base.where(F.col("vec_id") % every == 0).mapInArrow(seeded, "vec_id long, v array<long>, norm2 double, floor long")
-    queries = materialize(queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_query)).cast("int")), "topk")
-    reach = materialize(queries.groupBy("qb").agg(F.max("norm2").alias("longest"), F.min("floor").alias("least")), "topk")
+    # a query meets only vectors of at least its cut-off in length: its threshold over its own length
+    cutoff = F.when(F.col("floor") > 0, F.col("floor") / F.sqrt(F.greatest("norm2", F.lit(1e-300)))).otherwise(0.0)
+    queries = materialize(queries.withColumn("cutoff", cutoff), "topk")
+    # blocks of queries of like cut-offs, so that one weak query does not open a block to all
+    marks = queries.stat.approxQuantile("cutoff", [i / n_query for i in range(1, n_query)], 0.2 / n_query) if n_query > 1 else []
+    place = F.lit(0)
+    for mark in sorted(set(marks)):
+        place = place + (F.col("cutoff") >= mark).cast("int")
+    queries = queries.withColumn("lot", place)
+    lots = queries.groupBy("lot").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("lot_parts"))
+    queries = queries.join(lots, "lot").withColumn("qb", F.concat_ws(":", "lot", F.pmod(F.xxhash64("vec_id"), F.col("lot_parts").cast("long"))))
+    queries = materialize(queries.drop("lot", "lot_parts"), "topk")
+    reach = materialize(queries.groupBy("qb").agg(F.min("cutoff").alias("least")), "topk")
     # blocks by descending length, from quantiles: any cut is right, even ones are even work
     cuts = base.stat.approxQuantile("norm2", [i / n_block for i in range(1, n_block)], 0.2 / n_block) if n_block > 1 else []
     block = F.lit(0)
@@ -132,12 +144,13 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         block = block + (F.col("norm2") < cut).cast("int")
     dealt = base.withColumn("cb", block)
     # a length that very many vectors share is cut further, by id
-    counts = materialize(dealt.groupBy("cb").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")), "topk")
-    dealt = dealt.join(counts, "cb").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long")).cast("int"))
-    meets = dealt.select("vec_id", "v", "norm2", "cb", "part", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb")).join(reach, "qb")
-    may = (F.col("least") <= 0) | (F.col("norm2") * F.col("longest") * (1 + 1e-9) >= F.col("least").cast("double") * F.col("least"))
-    meets = meets.where(may).select("qb", "cb", "part", "vec_id", "v")
-    asks = queries.select("qb", "vec_id", "v", "floor", F.explode(F.sequence(F.lit(0), F.lit(n_block - 1))).alias("cb")).join(counts, "cb")
+    counts = materialize(dealt.groupBy("cb").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"), F.sqrt(F.max("norm2")).alias("longest")), "topk")
+    dealt = dealt.join(counts.select("cb", "parts"), "cb").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long")).cast("int"))
+    open_ = F.sqrt("norm2") * (1 + 1e-9) >= F.col("least")
+    # the blocks are few: one row for each couple that can meet
+    couples = materialize(counts.crossJoin(F.broadcast(reach)).where(F.col("longest") * (1 + 1e-9) >= F.col("least")).select("cb", "qb", "parts", "longest", "least"), "topk")
+    meets = dealt.join(couples.select("cb", "qb", "least"), "cb").where(open_).select("qb", "cb", "part", "vec_id", "v")
+    asks = queries.join(couples.select("cb", "qb", "parts", "longest"), "qb").where(F.col("longest") * (1 + 1e-9) >= F.col("cutoff"))
     asks = asks.select("qb", "cb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v", "floor")
 
     def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
