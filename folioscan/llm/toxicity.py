@@ -8,7 +8,8 @@ letters, and rates of exclamation and other punctuation.
 
 The labelled sample is dealt in folds: trees learn from features seen through the
 lexicon of the other folds, and calibration from scores of the other folds' trees, so
-nothing is judged by what it has taught.  Labels come only from rows
+nothing is judged by what it has taught.  Terms are counted by grouped aggregation and
+texts never leave the executors.  Labels come only from rows
 whose ``crc32(doc_id) mod 3`` is not 1; ids, sources and languages are no features.
 The sample is at most ``SAMPLE`` rows of each label, the first by a hash of the id.
 """
@@ -17,8 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.boosting import Trees, fit_trees, isotonic
-from folioscan.storage import small_batches
+from folioscan.storage import materialize, small_batches
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3000
@@ -56,26 +55,50 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, least: float = 2.0) -> Lexicon:
-    """Words and five-letter beginnings whose log-odds of a toxic text, less one standard error, reach ``least``."""
-    counts = [(Counter(), Counter()), (Counter(), Counter())]
-    seen = (set(), set())
-    for text, y in zip(texts, labels):
-        # a line counts once for each label, so copies of a text are one witness
-        new = [line for line in text.split("\n") if line not in seen[int(y)]]
-        seen[int(y)].update(new)
-        words = {t.strip(_EDGE).lower() for line in new for t in line.split()}
-        counts[int(y)][0].update(words)
-        counts[int(y)][1].update({stem(w) for w in words if len(w) > 5})
-    n = [max(int((labels == y).sum()), 1) for y in (0, 1)]
-    found = Lexicon(dict.fromkeys(INSULTS, GIVEN))
-    for k, out in ((0, found.words), (1, found.stems)):
-        for w, c in counts[1][k].items():
-            if c >= 3 and w:
-                d = counts[0][k][w]
-                odds = math.log((c + 0.5) / (n[1] - c + 0.5)) - math.log((d + 0.5) / (n[0] - d + 0.5))
-                if (low := odds - math.sqrt(1 / (c + 0.5) + 1 / (d + 0.5))) >= least:
-                    out[w] = low
+def _terms(line: str) -> set[tuple[int, str]]:
+    """``(0, word)`` and, for words of over five letters, ``(1, beginning)``."""
+    words = {t.strip(_EDGE).lower() for t in line.split()}
+    return {(0, w) for w in words} | {(1, stem(w)) for w in words if len(w) > 5}
+
+
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_terms(line) for line in batch.column(0).to_pylist()]
+        at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+        flat = [t for f in found for t in f]
+        cols = [batch.column(i).take(pa.array(at)) for i in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in flat], pa.int32()), pa.array([w for _, w in flat], pa.string())], names=["y", "part", "doc", "kind", "term"])
+
+
+def learn_lexicons(sample: DataFrame, least: float = 2.0) -> list[Lexicon]:
+    """The lexicons of the texts outside fold 0, 1, ..., and of all texts, from ``(doc_id, k, y, fold, text)``.
+
+    A lexicon holds the words and five-letter beginnings whose log-odds of a toxic text,
+    less one standard error, reach ``least``.  Counts are grouped on the executors; only
+    the terms of the lexicons come to the driver.
+    """
+    doc = F.struct("doc_id", "k")
+    inside = [F.col("fold") != i for i in range(FOLDS)] + [F.lit(True)]
+    n = sample.groupBy("y").agg(*(F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(inside))).collect()
+    size = {(r["y"], i): max(r[f"n{i}"], 1) for r in n for i in range(FOLDS + 1)}
+    # a line counts once for each label, in its first text, so copies of a text are one witness
+    lines = sample.select("y", "fold", doc.alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    firsts = lines.groupBy("y", "line").agg(*(F.min(F.when(c, F.col("doc"))).alias(f"d{i}") for i, c in enumerate(inside)))
+    seats = F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"d{i}").alias("doc")) for i in range(FOLDS + 1)))
+    seen = firsts.select("line", "y", F.explode(F.filter(seats, lambda s: s["doc"].isNotNull())).alias("s"))
+    seen = seen.select("line", "y", "s.part", F.concat_ws(":", "s.doc.doc_id", "s.doc.k").alias("doc"))
+    terms = seen.mapInArrow(_term_batches, "y int, part int, doc string, kind int, term string").distinct()
+    counts = terms.groupBy("part", "kind", "term").agg(*(F.count(F.when(F.col("y") == v, 1)).alias(f"c{v}") for v in (0, 1)))
+    found = [Lexicon(dict.fromkeys(INSULTS, GIVEN)) for _ in range(FOLDS + 1)]
+    odds = {}
+    for i in range(FOLDS + 1):
+        n0, n1 = size.get((0, i), 1), size.get((1, i), 1)
+        odds[i] = F.log((F.col("c1") + 0.5) / (n1 - F.col("c1") + 0.5)) - F.log((F.col("c0") + 0.5) / (n0 - F.col("c0") + 0.5))
+    by_part = F.coalesce(*(F.when(F.col("part") == i, o) for i, o in odds.items()))
+    low = by_part - F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
+    strong = counts.where("c1 >= 3 and term <> ''").select("part", "kind", "term", low.alias("low")).where(F.col("low") >= least)
+    for r in strong.collect():
+        (found[r["part"]].stems if r["kind"] else found[r["part"]].words)[r["term"]] = r["low"]
     return found
 
 
@@ -155,33 +178,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled rows of each class.
+def _feature_batches(lexicons: list[Lexicon]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = [_Tokens(lexicon) for lexicon in lexicons]
+        for batch in batches:
+            x = [features(t.as_py(), tokens[f.as_py()]) for t, f in zip(batch.column(4), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "k", "y", "fold", "x"])
 
-    Rows without an id, a text or a 0/1 label teach nothing.  Without rows of both
-    classes every text scores the smoothed share of the class there is.
+    return run
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
+    """``(doc_id, k, y, fold, text)``: one row for each id and text of at most ``sample`` labelled ids of each class.
+
+    ``k`` is a hash of the text.  Ids with many texts leave no more than ``2 * sample`` rows.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     # the first of each class by a hash of the id; one pass over the texts fetches both
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     some = pick[0].unionByName(pick[1])
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
-    rows = [(r.doc_id, r.text, int(r.y)) for r in got.collect()]
-    rows.sort()
-    fold = np.array([zlib.crc32(b"part:%d" % i) % FOLDS for i, _, _ in rows], np.int64)
-    y = np.array([r[2] for r in rows], float)
-    texts = [r[1] for r in rows]
+    fold = (F.crc32(F.concat(F.lit("part:"), F.col("doc_id").cast("string"))) % FOLDS).cast("int")
+    got = materialize(got.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "y", fold.alias("fold"), "text"), "toxicity")
+    once = got.groupBy("doc_id", "k", "y", "fold").agg(F.first("text").alias("text"))
+    if got.count() <= 2 * sample:
+        return once
+    # repeated ids cannot take more than the sample's bound; keys alone are ordered
+    keys = got.select("doc_id", "k").distinct().orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(2 * sample)
+    return once.join(F.broadcast(keys), ["doc_id", "k"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    """A model from at most ``sample`` labelled rows of each class.
+
+    Rows without an id, a text or a 0/1 label teach nothing.  Without rows of both
+    classes every text scores the smoothed share of the class there is.  Texts stay on
+    the executors: the driver gets lexicons and one row of features for each text.
+    """
+    small_batches(docs.sparkSession)
+    some = labelled_sample(docs, labels, label_col, sample)
+    lexicons = learn_lexicons(some)
     # every text is seen through the lexicon of the other folds, and scored by their trees
-    x = np.zeros((len(rows), FEATURES))
-    for k in range(FOLDS):
-        other, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        tokens = _Tokens(learn_lexicon([texts[i] for i in other], y[other]))
-        for i in mine:
-            x[i] = features(texts[i], tokens)
+    seen = some.select("doc_id", "k", "y", "fold", "text").mapInArrow(_feature_batches(lexicons[:FOLDS]), "doc_id long, k long, y int, fold int, x array<double>")
+    rows = sorted(seen.collect(), key=lambda r: (r["doc_id"], r["k"]))
+    x = np.array([r["x"] for r in rows]).reshape(-1, FEATURES)
+    y = np.array([r["y"] for r in rows], float)
+    fold = np.array([r["fold"] for r in rows], np.int64)
     raw = np.zeros(len(rows))
     for k in range(FOLDS):
         raw[fold == k] = fit_trees(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learn_lexicon(texts, y), fit_trees(x, y), isotonic(raw, y))
+    return Model(lexicons[FOLDS], fit_trees(x, y), isotonic(raw, y))
 
 
 def _score_batches(model: Model):

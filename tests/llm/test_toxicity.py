@@ -46,3 +46,47 @@ def test_isotonic_is_monotone_and_trees_learn():
     assert (((trees.raw(x[600:]) > 0) == y[600:]).mean()) > 0.9
     xs, ps = boosting.isotonic(trees.raw(x[600:]), y[600:])
     assert (np.diff(ps) >= 0).all() and (np.diff(xs) >= 0).all() and 0 < ps[0] and ps[-1] < 1
+
+
+def plain_lexicon(texts, labels):
+    """Term weights as the docstrings define them, counted in one loop over texts in the order of their ids."""
+    import math
+    from collections import Counter
+
+    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    seen = [set(), set()]
+    for text, y in zip(texts, labels):
+        new = set(text.split("\n")) - seen[y]
+        seen[y] |= new
+        words = {t.strip(toxicity._EDGE).lower() for line in new for t in line.split()}
+        counts[0][y].update(words)
+        counts[1][y].update({w[:5] for w in words if len(w) > 5})
+    n = [max(labels.count(y), 1) for y in (0, 1)]
+    out = [dict.fromkeys(toxicity.INSULTS, toxicity.GIVEN), {}]
+    for kind in (0, 1):
+        for w, c in counts[kind][1].items():
+            d = counts[kind][0][w]
+            low = math.log((c + 0.5) / (n[1] - c + 0.5)) - math.log((d + 0.5) / (n[0] - d + 0.5)) - math.sqrt(1 / (c + 0.5) + 1 / (d + 0.5))
+            if w and c >= 3 and low >= 2:
+                out[kind][w] = low
+    return out
+
+
+def test_lexicons_match_a_plain_count(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", toxicity.SAMPLE)
+    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.k))
+    assert len(rows) > 100 and not any(__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+    for part, got in enumerate(toxicity.learn_lexicons(sample)):
+        mine = [r for r in rows if r.fold != part]
+        words, stems = plain_lexicon([r.text for r in mine], [r.y for r in mine])
+        assert got.words.keys() == words.keys() and got.stems.keys() == stems.keys() and len(words) > len(toxicity.INSULTS)
+        assert np.allclose([got.words[w] for w in words], list(words.values())) and np.allclose([got.stems[w] for w in stems], list(stems.values()))
+
+
+def test_an_id_with_many_texts_keeps_the_bound(spark):
+    docs = spark.createDataFrame([(0, f"text {i % 50}") for i in range(400)] + [(i, "other") for i in (2, 3, 4, 5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) == 20 and len({(r.doc_id, r.k) for r in rows}) == 20
