@@ -67,7 +67,7 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
         flat = [t for f in found for t in f]
         cols = [batch.column(i).take(pa.array(at)) for i in (1, 2, 3)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in flat], pa.int32()), pa.array([w for _, w in flat], pa.string())], names=["y", "part", "doc", "kind", "term"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in flat], pa.int32()), pa.array([w for _, w in flat], pa.string())], names=["y", "doc", "parts", "kind", "term"])
 
 
 def learn_lexicons(sample: DataFrame, least: float = 2.0) -> list[Lexicon]:
@@ -84,11 +84,17 @@ def learn_lexicons(sample: DataFrame, least: float = 2.0) -> list[Lexicon]:
     # a line counts once for each label, in its first text, so copies of a text are one witness
     lines = sample.select("y", "fold", doc.alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
     firsts = lines.groupBy("y", "line").agg(*(F.min(F.when(c, F.col("doc"))).alias(f"d{i}") for i, c in enumerate(inside)))
-    seats = F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"d{i}").alias("doc")) for i in range(FOLDS + 1)))
-    seen = firsts.select("line", "y", F.explode(F.filter(seats, lambda s: s["doc"].isNotNull())).alias("s"))
-    seen = seen.select("line", "y", "s.part", F.concat_ws(":", "s.doc.doc_id", "s.doc.k").alias("doc"))
-    terms = seen.mapInArrow(_term_batches, "y int, part int, doc string, kind int, term string").distinct()
-    counts = terms.groupBy("part", "kind", "term").agg(*(F.count(F.when(F.col("y") == v, 1)).alias(f"c{v}") for v in (0, 1)))
+    # one row for each of a line's first texts, with the lexicons that it is first in as bits
+    own = [F.col(f"d{i}") for i in range(FOLDS + 1)]
+    seen = firsts.select("y", "line", *own, F.explode(F.array_compact(F.array_distinct(F.array(*own)))).alias("doc"))
+    parts = sum((F.when(d == F.col("doc"), 1 << i).otherwise(0) for i, d in enumerate(own)), F.lit(0))
+    seen = seen.select("line", "y", F.xxhash64("doc").alias("doc"), parts.cast("int").alias("parts"))
+    terms = seen.mapInArrow(_term_batches, "y int, doc long, parts int, kind int, term string")
+    terms = terms.groupBy("y", "doc", "kind", "term").agg(F.bit_or("parts").alias("parts"))
+    per = [F.count(F.when((F.col("y") == v) & (F.col("parts").bitwiseAND(1 << i) != 0), 1)).alias(f"c{v}_{i}") for i in range(FOLDS + 1) for v in (0, 1)]
+    counts = terms.groupBy("kind", "term").agg(*per)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"c0_{i}").alias("c0"), F.col(f"c1_{i}").alias("c1")) for i in range(FOLDS + 1))))
+    counts = counts.where("term <> ''").select("kind", "term", each.alias("e")).select("kind", "term", "e.*")
     found = [Lexicon(dict.fromkeys(INSULTS, GIVEN)) for _ in range(FOLDS + 1)]
     odds = {}
     for i in range(FOLDS + 1):
@@ -96,7 +102,7 @@ def learn_lexicons(sample: DataFrame, least: float = 2.0) -> list[Lexicon]:
         odds[i] = F.log((F.col("c1") + 0.5) / (n1 - F.col("c1") + 0.5)) - F.log((F.col("c0") + 0.5) / (n0 - F.col("c0") + 0.5))
     by_part = F.coalesce(*(F.when(F.col("part") == i, o) for i, o in odds.items()))
     low = by_part - F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    strong = counts.where("c1 >= 3 and term <> ''").select("part", "kind", "term", low.alias("low")).where(F.col("low") >= least)
+    strong = counts.where("c1 >= 3").select("part", "kind", "term", low.alias("low")).where(F.col("low") >= least)
     for r in strong.collect():
         (found[r["part"]].stems if r["kind"] else found[r["part"]].words)[r["term"]] = r["low"]
     return found
