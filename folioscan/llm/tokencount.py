@@ -18,6 +18,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -225,9 +226,16 @@ def _fit(c: WordCounter, text: str, limit: int) -> int:
     left, words, runs = limit, 0, _runs(c, text)
     for lo in range(0, len(runs), limit + 1):  # a run has a token at least, but for odd white space
         some = runs[lo : lo + limit + 1]
-        c.learn_runs({r for r in some if r is not None})
-        for r in some:
-            for n, word in ((1, 0),) if r is None else ((n, 1) for n in c.runs[r]):
+        c.learn_runs({r for r in some if r is not None and not r.isascii()})
+        # ASCII runs side by side are cut at once
+        for plain, stretch in groupby(some, lambda r: r is not None and r.isascii()):
+            if plain:
+                found = c.words.findall(" ".join(stretch).lower())
+                c.learn(set(found))
+                costs = [(c.known[w], 1) for w in found]
+            else:
+                costs = [cost for r in stretch for cost in ([(1, 0)] if r is None else [(n, 1) for n in c.runs[r]])]
+            for n, word in costs:
                 if n > left:
                     return words
                 left, words = left - n, words + word
