@@ -27,3 +27,9 @@ def test_running_keys_match_their_sql_on_odd_spaces(spark, tmp_path):
     queries, sql = load()
     d = _documents(tmp_path)
     compare(queries["f6_running_keys"](spark, d), sql["f6_running_keys"], d)
+
+
+def test_segmentation_matches_its_sql_on_odd_spaces(spark, tmp_path):
+    queries, sql = load()
+    d = _documents(tmp_path)
+    compare(queries["w1_segmentation"](spark, d), sql["w1_segmentation"], d)
