@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.components import connected_components
 from folioscan.llm.simhash import local_roots
 from folioscan.llm.vectors import matrix
-from folioscan.storage import materialize
+from folioscan.storage import materialize, small_batches
 
 THRESHOLD = 0.9
 OVERLAP, PART, SHARD_ROWS = 3, 2048, 1500
@@ -39,6 +39,8 @@ DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 #: A search opens neighbours this far below the threshold, so thin spots don't end it.
 SLACK = 0.08
 _BEAM, _AT_ONCE = 8, 512
+#: Nodes opened at once, and pairs whose vectors are gathered at once.
+_OPENED, _PAIRS = 4096, 16384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -57,6 +59,38 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of rows ``a`` and ``b``, pair by pair."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), _PAIRS):
+        out[lo : lo + _PAIRS] = np.einsum("ij,ij->i", x[a[lo : lo + _PAIRS]], x[b[lo : lo + _PAIRS]])
+    return out
+
+
+def least_common(shards: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least shard that rows ``a`` and ``b`` share, pair by pair."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for lo in range(0, len(a), _PAIRS):
+        mine, other = shards[a[lo : lo + _PAIRS]], shards[b[lo : lo + _PAIRS]]
+        common = (mine[:, :, None] == other[:, None, :]).any(2)
+        out[lo : lo + _PAIRS] = np.where(common, mine, np.iinfo(np.int64).max).min(1)
+    return out
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, overlap: int) -> np.ndarray:
+    """The numbers of the ``overlap`` nearest centres of every row, ascending.
+
+    Rows are taken ``_AT_ONCE`` at a time: a whole batch against all centres is what an
+    executor's memory would have to hold three times over.
+    """
+    m = min(overlap, len(centres))
+    out = np.zeros((len(x), m), np.int32)
+    for lo in range(0, len(x), _AT_ONCE):
+        near = np.argpartition(-(x[lo : lo + _AT_ONCE] @ centres.T), m - 1, axis=1)[:, :m]
+        out[lo : lo + _AT_ONCE] = np.sort(near, axis=1)
+    return out
+
+
 def prune(x: np.ndarray) -> np.ndarray:
     """Neighbours of every row by robust pruning of its nearest ``CANDIDATES``; -1 fills."""
     n = len(x)
@@ -125,7 +159,7 @@ def range_search(x: np.ndarray, start: np.ndarray, links: np.ndarray, threshold:
             done[live, best[live]] = True
             q, v = opened(live, pool[live, best[live]])
             q, v = _fresh(q, v, seen)
-            s = np.einsum("ij,ij->i", x[lo + q], x[v])
+            s = dots(x, lo + q, v)
             all_q.append(q), all_v.append(v), all_s.append(s)
             pool, sim, done = _merge(q, v, s, pool, sim, done)
         # every query knows its own row; expand from all it has met in range
@@ -136,8 +170,10 @@ def range_search(x: np.ndarray, start: np.ndarray, links: np.ndarray, threshold:
             near = s >= threshold - SLACK
             hit = s >= threshold - 1e-6
             found.append((lo + q[hit], v[hit]))
-            q, v = _fresh(*opened(q[near], v[near]), seen)
-            s = np.einsum("ij,ij->i", x[lo + q], x[v])
+            q, v = q[near], v[near]
+            new = [_fresh(*opened(q[at : at + _OPENED], v[at : at + _OPENED]), seen) for at in range(0, len(q), _OPENED)]
+            q, v = (np.concatenate([z[k] for z in new] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            s = dots(x, lo + q, v)
     a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     key = np.unique(np.minimum(a, b)[a != b] * n + np.maximum(a, b)[a != b])
@@ -189,13 +225,12 @@ def _searched(threshold: float):
         owner, at = owner[here], at[here]
         start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))])
         a, b = range_search(x, start, at, threshold)
-        dot = np.einsum("ij,ij->i", x[a], x[b]) if len(a) else np.zeros(0)
+        dot = dots(x, a, b)
         a, b = a[dot >= threshold], b[dot >= threshold]
         root = local_roots(len(ids), a, b)
         # count a pair in one place: the least common shard, and there the meeting of its two parts
         shards = matrix(part.column("shards"), dtype=np.int64)
-        common = (shards[a][:, :, None] == shards[b][:, None, :]).any(2) if len(a) else np.zeros((0, 1), bool)
-        least = np.where(common, shards[a], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0)
+        least = least_common(shards, a, b)
         mine = (least == shard) & (np.minimum(piece[a], piece[b]) == lo) & (np.maximum(piece[a], piece[b]) == hi)
         n = np.bincount(a[mine], weight[b[mine]], len(ids)) + np.bincount(b[mine], weight[a[mine]], len(ids))
         keep = (n > 0) | (root != np.arange(len(ids)))
@@ -210,9 +245,8 @@ def _link(classes: DataFrame, centres: np.ndarray, overlap: int, width: int, thr
     def assign(batches):
         for b in batches:
             x = unit(matrix(b.column(1), width))
-            m = min(overlap, len(centres))
-            near = np.argpartition(-(x @ centres.T), m - 1, axis=1)[:, :m] if len(x) else np.zeros((0, m), np.int64)
-            near = np.sort(near, axis=1).astype(np.int32)
+            near = nearest_centres(x, centres, overlap)
+            m = near.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * m, pa.int32()), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["rep", "v", "weight", "shards"])
 
@@ -225,10 +259,13 @@ def _link(classes: DataFrame, centres: np.ndarray, overlap: int, width: int, thr
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d"))
-    rows = rows.select("shard", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "v", "weight", "shards")
+    rows = rows.select("shard", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "v", "weight", "shards", "parts")
     edges = rows.groupBy("shard", "lo", "hi").applyInArrow(_graph, "node long, link long")
     lists = edges.groupBy(F.col("node").alias("rep")).agg(F.collect_set("link").alias("links"))
     full = rows.join(lists, "rep", "left").withColumn("links", F.coalesce("links", F.array().cast("array<bigint>")))
+    # a class of neither part is not in the meeting, so links to it are left behind
+    met = lambda link: F.pmod(F.xxhash64(link), F.col("parts").cast("long")).isin(F.col("lo").cast("long"), F.col("hi").cast("long"))
+    full = full.withColumn("links", F.when(F.col("parts") > 1, F.filter("links", met)).otherwise(F.col("links"))).drop("parts")
     return materialize(full.groupBy("shard", "lo", "hi").applyInArrow(_searched(threshold), "rep long, n long, root long"), "graph")
 
 
@@ -311,6 +348,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     other, all pairs are compared in blocks instead.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
