@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.operators.ordered import joined_pieces
-from folioscan.operators.spatial_joins import points_within
+from folioscan.operators.spatial_joins import nearest_within
 
 SPANNING, COLUMN_LINES, GAP_HEIGHTS, MOST_COLUMNS = 0.6, 4, 0.6, 4
 
@@ -67,8 +67,9 @@ def repeated_hits(hits: DataFrame, pages: DataFrame, cell: float = 10.0, share:
 def near_text(entities: DataFrame, texts: DataFrame, radius: float, keys: list[str] = ()) -> DataFrame:
     """``keys, id, near``: the closest text of every entity within a radius."""
     e = entities.select(*keys, "id", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    hit = points_within(e, texts.select(*keys, "text", F.col("x").alias("rx"), F.col("y").alias("ry")), radius, keys)
-    return hit.groupBy(*keys, "id").agg(F.min_by("text", F.struct("dist", "text")).alias("near"))
+    t = texts.select(*keys, "text", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    hit = nearest_within(e, t, radius, list(keys), F.col("text"))
+    return e.join(hit, [*keys, "lx", "ly"]).groupBy(*keys, "id").agg(F.min_by("near.tie", "near").alias("near"))
 
 
 def rendered(lines: DataFrame) -> DataFrame:
