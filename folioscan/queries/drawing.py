@@ -114,9 +114,11 @@ SELECT t.tid, m[2] AS id, m[3] AS points_at_x, m[4] AS points_at_y, coalesce(n_f
 def j4_text_anchored(spark, sf_dir):
     s = derive.segments(spark, sf_dir)
     texts = s.where("kind = 'polyline'").select(F.col("id").alias("tid"), ((F.col("ax") + F.col("ex")) / 2).alias("lx"), ((F.col("ay") + F.col("ey")) / 2).alias("ly"))
-    near = J.points_within(texts, S.ends(s.where("kind = 'line'")), 30.0)
-    best = near.groupBy("tid").agg(F.min(F.struct("dist", "id", "ox", "oy")).alias("m"), F.count("*").alias("n"))
-    return texts.select("tid").join(best, "tid", "left").select("tid", "m.id", F.col("m.ox").alias("points_at_x"), F.col("m.oy").alias("points_at_y"), F.coalesce("n", F.lit(0)).alias("n_found"))
+    ends = S.ends(s.where("kind = 'line'"))
+    best = J.nearest_within(texts, ends, 30.0, [], F.struct("id", "ox", "oy"))
+    out = texts.join(best, ["lx", "ly"], "left").join(J.count_within(texts, ends, 30.0), ["lx", "ly"], "left")
+    m = F.col("near.tie")
+    return out.select("tid", m["id"].alias("id"), m["ox"].alias("points_at_x"), m["oy"].alias("points_at_y"), F.coalesce("n", F.lit(0)).alias("n_found"))
 
 
 @query(
