@@ -18,8 +18,6 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import groupby
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,12 @@ from folioscan.storage import small_batches
 
 CLOSING = 256
 _WORDS_KEPT = 250_000
-_CHARS_AT_ONCE = 1 << 20
+_BYTES_KEPT = 1 << 25
+_BYTES_AT_ONCE = 1 << 20
+_BYTES_TOGETHER = 1 << 17
+#: A sum of tokens is above this bit of a number, the sum of pretokens below it.
+_TOKENS = 32
+_PRETOKENS = (1 << _TOKENS) - 1
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _loaded: dict[str, WordCounter] = {}
 
@@ -59,6 +62,7 @@ class WordCounter:
         self.space = re.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"], re.ASCII)
         # for ASCII text letters and digits are these, and white space is that of the C library
         self.words = re.compile(splits[0]["pattern"]["Regex"].replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9"), re.ASCII)
+        self.words_and_ends = re.compile(self.words.pattern + r"|\n", re.ASCII)
         to_byte, vocab = byte_alphabet(), model["vocab"]
         pieces: list[tuple[int, ...]] = [()] * (max(vocab.values()) + 1)
         for text, i in vocab.items():
@@ -77,8 +81,12 @@ class WordCounter:
         self.known: dict[str, int] = {}
         self.closed: dict[str, list[int]] = {}
         self._broken: dict[tuple[str, str], list[int]] = {}
-        #: Tokens of each pretoken of a run.
+        #: Tokens of each pretoken of the runs learned last.
         self.runs: dict[str, tuple[int, ...]] = {}
+        #: Tokens of a whole run, its special strings among them, above the number of its pretokens.
+        self.sums: dict[bytes, int] = {}
+        self._older: dict[bytes, int] = {}
+        self._held = 0
 
     def normalise(self, text: str) -> str:
         return self.space.sub(" ", text).lower() if text.isascii() else self._normaliser.normalize_str(text.encode("utf-8", "replace").decode())
@@ -106,14 +114,56 @@ class WordCounter:
             self.known.update(zip(new, count[np.cumsum(lengths) - 1].tolist()))
 
     def learn_runs(self, runs: set[str]) -> None:
-        """Store the counts of the pretokens of the runs that are new."""
-        if len(self.runs) > _WORDS_KEPT:
-            self.runs.clear()
-        if new := [r for r in runs if r not in self.runs]:
-            cut = [[w for _, w in self.find(self.normalise(r))] for r in new]
-            self.learn({w for words in cut for w in words})
-            for r, words in zip(new, cut):
-                self.runs[r] = tuple(self.known[w] for w in words)
+        """Hold the counts of the pretokens of these runs."""
+        cut = {r: self.words.findall(r.lower()) if r.isascii() else [w for _, w in self.find(self.normalise(r))] for r in runs}
+        self.learn(set().union(*cut.values()))
+        self.runs = {r: tuple(map(self.known.__getitem__, words)) for r, words in cut.items()}
+
+    def _cut_plain(self, runs: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The pretokens of ASCII runs, and the run of each."""
+        found = self.words_and_ends.findall(b"\n".join(runs).lower().decode())
+        ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
+        return [w for w in found if w != "\n"], np.cumsum(ends)[~ends]
+
+    def _cut_other(self, runs: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The pretokens of runs without U+0000, and the run of each."""
+        words, owners = [], [np.zeros(0, np.int64)]
+        upto = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        cuts = [0, *(np.flatnonzero(np.diff(upto // _BYTES_TOGETHER)) + 1).tolist(), len(runs)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            # U+0000 parts what is normalised, as nothing composes with it; the splitter would take it for a sign, but drops spaces
+            normal = self._normaliser.normalize_str(b"\0".join(runs[lo:hi]).decode()).split("\0")
+            ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)) + 1)
+            text = " ".join(normal)
+            spans = [span for _, span in self._splitter.pre_tokenize_str(text)]
+            words += [text[a:b] for a, b in spans]
+            owners.append(np.searchsorted(ends, np.fromiter((a for a, _ in spans), np.int64, len(spans)), "right") + lo)
+        return words, np.concatenate(owners)
+
+    def learn_sums(self, runs: set[bytes]) -> None:
+        """Store the sums of the runs that are new."""
+        if len(self.sums) > _WORDS_KEPT or self._held > _BYTES_KEPT:
+            self._older, self.sums, self._held = self.sums, {}, 0
+        new = runs.difference(self.sums)
+        again = list(filter(self._older.__contains__, new))
+        self.sums.update(zip(again, map(self._older.__getitem__, again)))
+        new.difference_update(again)
+        odd = {r for r in new if b"<|" in r or b"\0" in r}
+        new -= odd
+        plain, other = [r for r in new if r.isascii()], [r for r in new if not r.isascii()]
+        words, owner = self._cut_plain(plain)
+        more, its = self._cut_other(other)
+        words += more
+        owner = np.concatenate([owner, its + len(plain)])
+        self.learn(set(words))
+        n = len(plain) + len(other)
+        tokens = np.bincount(owner, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), n).astype(np.int64)
+        self.sums.update(zip(plain + other, ((tokens << _TOKENS) + np.bincount(owner, minlength=n)).tolist()))
+        parts = {r: _runs(self, r.decode()) for r in odd}
+        self.learn_runs({p for row in parts.values() for p in row if p is not None})
+        for r, row in parts.items():
+            self.sums[r] = sum(1 << _TOKENS if p is None else (sum(self.runs[p]) << _TOKENS) + len(self.runs[p]) for p in row)
+        self._held += sum(map(len, again)) + sum(map(len, new)) + sum(map(len, odd))
 
     def learn_prefixes(self, words: set[str]) -> None:
         """Store the number of tokens of every prefix of the words, each prefix taken as a text."""
@@ -221,42 +271,28 @@ def _runs(c: WordCounter, text: str) -> list[str | None]:
     return out
 
 
-def _fit(c: WordCounter, text: str, limit: int) -> int:
-    """Pretokens of the longest prefix within the limit; special strings take a token and are no pretokens."""
-    left, words, runs = limit, 0, _runs(c, text)
-    for lo in range(0, len(runs), limit + 1):  # a run has a token at least, but for odd white space
-        some = runs[lo : lo + limit + 1]
-        c.learn_runs({r for r in some if r is not None and not r.isascii()})
-        # ASCII runs side by side are cut at once
-        for plain, stretch in groupby(some, lambda r: r is not None and r.isascii()):
-            if plain:
-                found = c.words.findall(" ".join(stretch).lower())
-                c.learn(set(found))
-                costs = [(c.known[w], 1) for w in found]
-            else:
-                costs = [cost for r in stretch for cost in ([(1, 0)] if r is None else [(n, 1) for n in c.runs[r]])]
-            for n, word in costs:
-                if n > left:
-                    return words
-                left, words = left - n, words + word
-    return words
-
-
-class _Held(NamedTuple):
-    """A text in parts: pretokens of its plain runs, its other runs, and the number of its special strings."""
-
-    text: str
-    words: list[str]
-    runs: list[str]
-    specials: int
-
-
-def _parts(c: WordCounter, text: str) -> _Held:
-    if text.isascii() and "<|" not in text:
-        return _Held(text, c.words.findall(text.lower()), [], 0)
-    runs = _runs(c, text)
-    plain = " ".join(r for r in runs if r is not None and r.isascii())
-    return _Held(text, c.words.findall(plain.lower()), [r for r in runs if r is not None and not r.isascii()], runs.count(None))
+def _fits(c: WordCounter, texts: list[list[bytes]], limit: int) -> list[int]:
+    """Pretokens of the longest prefix within the limit for texts above it; special strings take a token and are no pretokens."""
+    at, cut = [], set()
+    for runs in texts:
+        done = 0
+        for run in runs:
+            if (done + c.sums[run]) >> _TOKENS > limit:
+                break
+            done += c.sums[run]
+        at.append((done, run))
+        cut.add(run)
+    parts = {run: _runs(c, run.decode()) for run in cut}
+    c.learn_runs({r for row in parts.values() for r in row if r is not None})
+    out = []
+    for done, run in at:
+        left, words = limit - (done >> _TOKENS), done & _PRETOKENS
+        for n, word in [cost for r in parts[run] for cost in ([(1, 0)] if r is None else [(n, 1) for n in c.runs[r]])]:
+            if n > left:
+                break
+            left, words = left - n, words + word
+        out.append(words)
+    return out
 
 
 def _batches(path: str, limit: int):
@@ -264,28 +300,28 @@ def _batches(path: str, limit: int):
         c = counter(path)
         for batch in batches:
             n_bytes, n_tokens, fit = [], [], []
-            held: list[_Held] = []
+            held: list[list[bytes]] = []
             size = 0
 
             def flush() -> None:
-                c.learn_runs({r for h in held for r in h.runs})
-                c.learn({w for h in held for w in h.words})
-                known, of_run = c.known, c.runs
-                for h in held:
-                    n_tokens.append(sum(map(known.__getitem__, h.words)) + sum(sum(of_run[r]) for r in h.runs) + h.specials)
-                    whole = len(h.words) + sum(len(of_run[r]) for r in h.runs)
-                    fit.append(whole if n_tokens[-1] <= limit else -1)
-                for k, h in enumerate(held, len(fit) - len(held)):
-                    if fit[k] < 0:
-                        fit[k] = _fit(c, h.text, limit)
+                c.learn_sums(set().union(*held))
+                sums, over = c.sums, []
+                for runs in held:
+                    total = sum(map(sums.__getitem__, runs))
+                    n_tokens.append(total >> _TOKENS)
+                    if n_tokens[-1] > limit:
+                        over.append(len(fit))
+                    fit.append(total & _PRETOKENS)
+                for k, words in zip(over, _fits(c, [held[k - len(fit)] for k in over], limit)):
+                    fit[k] = words
                 held.clear()
 
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
-                held.append(_parts(c, text))
-                size += len(text)
-                if size >= _CHARS_AT_ONCE:
+            for value in batch.column(1).cast(pa.large_binary()):
+                raw = value.as_py() or b""
+                n_bytes.append(len(raw))
+                held.append(raw.split())  # bytes are cut at ASCII white space alone
+                size += len(raw)
+                if size >= _BYTES_AT_ONCE:
                     flush()
                     size = 0
             flush()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscan.llm import sentencepieces, tokencount
@@ -98,3 +99,55 @@ def test_special_strings_take_their_token_of_the_limit(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_tokens, r.fit_words, r.over_limit) for r in tokencount.token_counts(df, path, limit=4).collect()}
     assert got == {1: (13, 0, True), 2: (5, 3, True), 3: (3, 3, False)}
+
+
+def _counted(path, texts, limit):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return next(tokencount._batches(path, limit)(iter([batch]))).to_pylist()
+
+
+def _fit_by_definition(c, text, limit):
+    left, words = limit, 0
+    for k, part in enumerate(c.cut.split(text)):
+        cut = [None] if k % 2 else [w for _, w in c.find(c.normalise(part))]
+        c.learn(set(cut) - {None})
+        for w in cut:
+            n = 1 if w is None else c.known[w]
+            if n > left:
+                return words
+            left, words = left - n, words + (w is not None)
+    return words
+
+
+def test_texts_above_the_limit_are_solved_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    lib, c = Tokenizer.from_file(path), tokencount.WordCounter(path)
+    monkeypatch.setitem(tokencount._loaded, path, c)
+    monkeypatch.setattr(tokencount, "_WORDS_KEPT", 100)
+    solved, solve = [], c.lattice.solve
+    monkeypatch.setattr(c.lattice, "solve", lambda *a, **b: solved.append(len(a[1])) or solve(*a, **b))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abeinrsté", k=7)) + rng.choice(["", ".", "'s"]) for _ in range(80)) for _ in range(30)]
+    got = _counted(path, texts, 60)
+    assert len(solved) <= 2
+    assert [r["n_tokens"] for r in got] == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(r["over_limit"] for r in got)
+    assert [r["fit_words"] for r in got] == [_fit_by_definition(c, t, 60) for t in texts]
+
+
+def test_runs_counted_together_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    lib, c = Tokenizer.from_file(path), tokencount.WordCounter(path)
+    monkeypatch.setitem(tokencount._loaded, path, c)
+    monkeypatch.setattr(tokencount, "_WORDS_KEPT", 500)
+    monkeypatch.setattr(tokencount, "_BYTES_AT_ONCE", 1 << 12)
+    rng = random.Random(22)
+    parts = ["a", "É", "E\u0301", "\u0301", "\u0300\u0323", "'s", "'RE", "\x00", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u180e", "\u200b", "\u1100", "\u1161", "\u11a8", "Σ", "İ", "ſ", "日本", "🦜", "12", "!?", "<|", "<|endoftext|>", "<|startoftext|>", "\ufeff", "the", " ", " ", "\n", "\t", "\x0b", "\x0c", "\r\n"]
+    texts = [*TEXTS, *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(4000))]
+    got = _counted(path, [*texts, None], 12)
+    assert [(r["n_bytes"], r["n_tokens"]) for r in got] == [(len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for t in [*texts, ""]]
+    assert [r["fit_words"] for r in got] == [_fit_by_definition(c, t, 12) for t in [*texts, ""]]
