@@ -106,6 +106,57 @@ def points_in_rings(left: DataFrame, right: DataFrame, radius: Column, keys: lis
     return both.where(F.col("dist") <= F.col("__radius")).drop("__radius")
 
 
+def nearest_in_rings(left: DataFrame, right: DataFrame, radius: Column, keys: list[str], tie: Column) -> DataFrame:
+    """``keys, lx, ly, near``: for each left place the least ``(dist, tie)`` of right points within the largest radius of its left points.
+
+    As ``nearest_within``, with a radius of each left point's own: what lies beyond a point's
+    radius is for the caller to drop.
+    """
+    from folioscan.storage import materialize
+
+    at = [*keys, "lx", "ly"]
+    todo = materialize(left.groupBy(*at).agg(F.max(radius).alias("__most")), "near")
+    there = materialize(right.groupBy(*keys, "rx", "ry").agg(F.min(tie).alias("__tie")), "near")
+    found = None
+    for part in (64, 32, 16, 8, 4, 2, 1):
+        # searched a little wider than the exact test, as sums round to either side
+        reach = F.col("__most") / part
+        got = points_in_rings(todo, there, reach * (1 + 1e-9), keys).where(F.col("dist") <= reach)
+        got = materialize(got.groupBy(*at).agg(F.min(F.struct("dist", F.col("__tie").alias("tie"))).alias("near")), "near")
+        found = got if found is None else found.unionByName(got)
+        if part > 1:
+            todo = materialize(todo.join(got.select(*at), at, "left_anti"), "near")
+            if todo.isEmpty():
+                break
+    return found
+
+
+def points_on_rings(left: DataFrame, right: DataFrame, radius: Column, slack: float, keys: list[str] = ()) -> DataFrame:
+    """Pairs of a left point and the right points ``slack`` of its radius or less from its ring, with ``dist``.
+
+    As ``points_in_rings``, with cells of a quarter of the level's size, so that a left point
+    reaches only the cells that its ring runs through.  ``slack`` is below one.
+    """
+    level = F.greatest(F.ceil(F.log2(F.greatest(radius, F.lit(1e-9)))), F.lit(-20)).cast("int")
+    a = left.withColumn("__radius", radius).withColumn("__level", level).withColumn("__size", F.pow(F.lit(2.0), F.col("__level") - 2))
+    levels = a.select("__level").distinct()  # at most some dozens, by construction
+    step = lambda v: F.floor(F.col(v) / F.col("__size")).cast("long")
+    most = int(4 * (1 + slack)) + 1
+    moves = F.array(*(F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in range(-most, most + 1) for dy in range(-most, most + 1)))
+    a = a.withColumn("__m", F.explode(moves)).withColumn("__cx", F.try_add(step("lx"), F.col("__m.x"))).withColumn("__cy", F.try_add(step("ly"), F.col("__m.y"))).drop("__m")
+    # the nearest and the farthest that a point of the cell can be; both are taken a little wider than they are
+    gap = lambda v, c: F.greatest(F.col(c) * F.col("__size") - F.col(v), F.col(v) - (F.col(c) + 1) * F.col("__size"), F.lit(0.0))
+    span = lambda v, c: F.greatest(F.col(v) - F.col(c) * F.col("__size"), (F.col(c) + 1) * F.col("__size") - F.col(v))
+    wide = F.col("__size") * 1e-6
+    near = F.hypot(gap("lx", "__cx"), gap("ly", "__cy")) <= (1 + slack) * F.col("__radius") + wide
+    far = F.hypot(span("lx", "__cx"), span("ly", "__cy")) >= (1 - slack) * F.col("__radius") - wide
+    a = a.where(near & far).drop("__size")
+    b = right.crossJoin(F.broadcast(levels)).withColumn("__size", F.pow(F.lit(2.0), F.col("__level") - 2)).withColumn("__cx", step("rx")).withColumn("__cy", step("ry")).drop("__size")
+    both = a.join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
+    both = both.withColumn("dist", G.distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
+    return both.where(F.abs(F.col("dist") - F.col("__radius")) <= slack * F.col("__radius")).drop("__radius")
+
+
 def boxes_meeting(left: DataFrame, right: DataFrame, size: float, keys: list[str] = (), test: str = "intersect") -> DataFrame:
     """Pairs of left boxes (``l`` columns) and right boxes (``r`` columns) that intersect, or where left contains right.
 
