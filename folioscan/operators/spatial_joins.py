@@ -101,7 +101,8 @@ def points_in_rings(left: DataFrame, right: DataFrame, radius: Column, keys: lis
     near = F.sequence(F.lit(-1), F.lit(1))
     a = a.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near)).withColumn("__cx", step("lx", F.col("__dx"))).withColumn("__cy", step("ly", F.col("__dy"))).drop("__dx", "__dy", "__size")
     b = right.crossJoin(F.broadcast(levels)).withColumn("__size", F.pow(F.lit(2.0), F.col("__level"))).withColumn("__cx", step("rx", F.lit(0))).withColumn("__cy", step("ry", F.lit(0))).drop("__size")
-    both = a.join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
+    # sizes are estimated before rows are repeated over cells, so that side would be broadcast too large
+    both = a.hint("merge").join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
     both = both.withColumn("dist", G.distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
     return both.where(F.col("dist") <= F.col("__radius")).drop("__radius")
 
@@ -152,7 +153,8 @@ def points_on_rings(left: DataFrame, right: DataFrame, radius: Column, slack: fl
     far = F.hypot(span("lx", "__cx"), span("ly", "__cy")) >= (1 - slack) * F.col("__radius") - wide
     a = a.where(near & far).drop("__size")
     b = right.crossJoin(F.broadcast(levels)).withColumn("__size", F.pow(F.lit(2.0), F.col("__level") - 2)).withColumn("__cx", step("rx")).withColumn("__cy", step("ry")).drop("__size")
-    both = a.join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
+    # sizes are estimated before rows are repeated over cells, so that side would be broadcast too large
+    both = a.hint("merge").join(b, [*keys, "__level", "__cx", "__cy"]).drop("__level", "__cx", "__cy")
     both = both.withColumn("dist", G.distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
     return both.where(F.abs(F.col("dist") - F.col("__radius")) <= slack * F.col("__radius")).drop("__radius")
 

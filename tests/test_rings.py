@@ -44,6 +44,13 @@ def test_bubbles_of_repeated_ids_match_their_sql(spark, tmp_path, ids):
     compare(queries["x4_bubbles"](spark, str(tmp_path / "in")), sql["x4_bubbles"], str(tmp_path / "in"))
 
 
+def test_rows_repeated_over_cells_are_not_broadcast(spark):
+    left = spark.range(50).selectExpr("id l", "double(id) lx", "double(id) ly", "3.0D r")
+    right = spark.range(50).selectExpr("id i", "double(id) rx", "double(id) ry")
+    for df in (J.points_in_rings(left, right, F.col("r")), J.points_on_rings(left, right, F.col("r"), 0.2)):
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
 def test_rings_match_brute_force(spark):
     r = random.Random(4)
     radii = [0.0, 0.5, 1.0, 3.0, 4.0, 7.5, 16.0, 40.0]
